@@ -60,6 +60,13 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return assign_splits(_groups(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of points of which one is among the five most similar to the other."""
+    from theoremlake.llm.knn import most_similar, neighbour_pairs
+
+    return neighbour_pairs(most_similar(_read(spark, d, "index_points")))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     from theoremlake.llm.tokens import encode_texts
@@ -75,7 +82,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_report, p4_found, p4_splits, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p6_ids, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
