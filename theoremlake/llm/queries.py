@@ -14,6 +14,29 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    from theoremlake.llm.content import split_kind
+    from theoremlake.llm.leak import leaked_items
+
+    decls = _read(spark, d, "declarations").where(split_kind(F.col("split")) == "train")
+    corpus = (
+        _read(spark, d, "documents")
+        .select(F.lit("documents").alias("corpus"), F.col("doc_id").alias("id"), "text")
+        .unionByName(decls.select(F.lit("declarations").alias("corpus"), F.col("decl_id").alias("id"), F.col("nl_description").alias("text")))
+    )
+    return leaked_items(corpus, _read(spark, d, "nl_queries").select(F.col("query_id").alias("id"), F.col("query").alias("text")))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Records that hold eight consecutive words, or all, of an evaluation query."""
+    return _leaks(spark, d).where("same").select(F.col("item_id").alias("query_id"), "corpus", "record_id").distinct()
+
+
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    """For each evaluation query that leaked, word for word or nearly, the number of records that give it away."""
+    return _leaks(spark, d).groupBy(F.col("item_id").alias("query_id"), "corpus").agg(F.count("*").alias("records"), F.count_if("same").alias("word_for_word"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of declarations whose contents have a likeness of 0.7 or more."""
     from theoremlake.llm.neardup import near_duplicates, pairs_of_rows
@@ -82,7 +105,7 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p6_ids, p7_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
