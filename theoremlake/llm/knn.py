@@ -126,31 +126,38 @@ def _route(trees, visits: int, dims: int, rows: int = 4096):
 
 
 def _best(s: np.ndarray, k: int, width: int = 16) -> np.ndarray:
-    """Columns of the k highest of each row, in any order: first the k blocks of columns with the highest maxima."""
+    """Columns of the k highest of each row, in any order: first the k blocks of `width` columns with the highest maxima."""
     n, m = s.shape
     if m <= k:
         return np.tile(np.arange(m), (n, 1))
-    if m <= 4 * k * width:
-        return np.argpartition(-s, k - 1, axis=1)[:, :k]
-    pad = -m % width
-    if pad:
-        s = np.concatenate([s, np.full((n, pad), -np.inf, s.dtype)], 1)
-    blocks = np.argpartition(-s.reshape(n, -1, width).max(2), k - 1, axis=1)[:, :k]
-    at = (blocks[:, :, None] * width + np.arange(width)).reshape(n, -1)
-    return np.take_along_axis(at, np.argpartition(-np.take_along_axis(s, at, 1), k - 1, axis=1)[:, :k], 1)
+    if m % width or m <= 4 * k * width:
+        return np.argpartition(s, m - k, axis=1)[:, m - k :]
+    stride = m // width  # a block is every stride-th column, so that maxima run along rows
+    tops = s.reshape(n, width, stride).max(1)
+    blocks = np.argpartition(tops, stride - k, axis=1)[:, stride - k :]
+    at = (blocks[:, :, None] + np.arange(width) * stride).reshape(n, -1)
+    v = np.take_along_axis(s, at, 1)
+    return np.take_along_axis(at, np.argpartition(v, v.shape[1] - k, axis=1)[:, v.shape[1] - k :], 1)
 
 
 def _search(k: int, dims: int, f: Forest, rows: int = 512):
     """applyInArrow function of a leaf: for each visitor the k best members, as packed ids and scores."""
 
     def brute(member: np.ndarray, visitor: np.ndarray, x: np.ndarray, ids: np.ndarray, out: list) -> None:
-        y, y_ids = x[member], ids[member]
+        member = member[np.argsort(ids[member], kind="stable")]
+        y_ids, width = ids[member], 16
+        # a whole number of blocks; what is added scores -3 and is dropped with the vector itself, which scores -2
+        y = np.zeros((len(member) + -len(member) % width, x.shape[1]), np.float32)
+        y[: len(member)] = x[member]
         for i in range(0, len(visitor), rows):
             v = visitor[i : i + rows]
             s = x[v] @ y.T
-            s[ids[v][:, None] == y_ids] = -2
-            at = _best(s, min(k, len(member)))
-            out.append((v, y_ids[at], np.take_along_axis(s, at, 1)))
+            s[:, len(member) :] = -3
+            at = np.searchsorted(y_ids, ids[v]).clip(max=len(member) - 1)
+            self_ = np.flatnonzero(y_ids[at] == ids[v])
+            s[self_, at[self_]] = -2
+            at = _best(s, min(k, len(member)), width)
+            out.append((v, y_ids[at.clip(max=len(member) - 1)], np.take_along_axis(s, at, 1)))
 
     def solve(member: np.ndarray, visitor: np.ndarray, x: np.ndarray, ids: np.ndarray, out: list, rng: np.random.Generator) -> None:
         # a leaf far beyond its size (more vectors than a sample of this size can tell apart) is split where it is
