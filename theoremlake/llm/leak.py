@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|<[!?][^<>]*>", re.S)
 _WORD = re.compile(r"[^\W_]+")
-_INVISIBLE = {c: None for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"}
+_INVISIBLE_CHARS = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"]
+_INVISIBLE = re.compile("[" + "".join(map(re.escape, _INVISIBLE_CHARS)) + "]+")
 #: Passages that one pass over the corpus looks for; more are looked for in further passes.
 PASSAGES_A_PASS = 200_000
 #: Words of which windows are made at once.
@@ -31,6 +32,11 @@ _CHUNK = 1 << 15
 _MEMO_WORDS = 1 << 20
 
 
+def visible(text: str) -> str:
+    """text without format characters; looking for each is much faster than a pass of the pattern."""
+    return text if text.isascii() or not any(c in text for c in _INVISIBLE_CHARS) else _INVISIBLE.sub("", text)
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters and digits; case, markup tags, character entities, compatibility forms and invisible characters
     make no difference."""
@@ -39,7 +45,7 @@ def words_of(text: str) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
+        text = unicodedata.normalize("NFKC", visible(text))
     return _WORD.findall(text.casefold())
 
 

@@ -104,8 +104,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(_read(spark, d, "documents"), 2048)
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose content never arrived."""
+    from theoremlake.llm.residue import residue_pages
+
+    return residue_pages(_read(spark, d, "documents")).distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p6_ids, p7_containers, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
