@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from theoremlake.functions.text import bucket, space_tokens
 
 HASH_DIM = 384
 #: Words that transformer embedders read of a text; theirs is a limit of the model, the hash embedder has none.
@@ -153,5 +152,15 @@ def embed_column(df: DataFrame, text_col: str, factory: Callable[[], Embedder],
 
 
 def bucket_counts(texts: DataFrame, dim: int = HASH_DIM, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """F12, F13 in sparse form: (id, bucket, tf)."""
-    return texts.select(F.col(id_col).alias("id"), F.explode(space_tokens(text_col)).alias("t")).groupBy("id", bucket("t", dim).alias("bucket")).agg(F.count("*").alias("tf"))
+    """F12, F13 in sparse form: (id, bucket, tf) for each row of texts; null and empty texts have no rows."""
+
+    def run(batches):
+        e = HashEmbedder(dim)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2048):
+                b = whole.slice(start, 2048)
+                c = e.counts(b.column("text").to_pylist())
+                row, bucket = np.nonzero(c)
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(bucket.astype(np.int32)), pa.array(c[row, bucket].astype(np.int64))], names=["id", "bucket", "tf"])
+
+    return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, bucket int, tf long")

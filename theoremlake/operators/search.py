@@ -6,6 +6,9 @@ and never shuffled: a task keeps the best k of each query, and only those meet.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from theoremlake.functions.text import identifier_tokens, token_id
+from theoremlake.functions.text import WORD
 
 #: Queries that are sent to the tasks at once.
 QUERY_BLOCK = 4096
@@ -42,55 +45,73 @@ def top_by(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: st
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= k)
 
 
-def _block_best(queries, vectors: Callable[[pa.RecordBatch], np.ndarray], k: int, digits: int, skip_self: bool, rows: int = 2048):
-    """mapInArrow function over points: each task's best k for each query, merged after every slice of rows."""
+def _first(k: int, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of parallel arrays the k of each row with the highest scores, ties by id."""
+    o = np.lexsort((ids, -score, row))
+    row, ids, score = row[o], ids[o], score[o]
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+    keep = np.arange(len(row)) - np.repeat(start, np.diff(np.r_[start, len(row)])) < k
+    return row[keep], ids[keep], score[keep]
+
+
+def _block_best(query_ids, scores: Callable[[pa.RecordBatch], np.ndarray], k: int, rows: int = 1024):
+    """mapInArrow function over points: each task's best k for each query. scores gives a (query, point) matrix for a batch;
+    points with -inf are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = queries.value
-        q_norm = np.sqrt((q * q).sum(1))
-        ids, score = np.full((len(q_ids), 0), 0, np.int64), np.full((len(q_ids), 0), 0.0)
+        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         for whole in batches:
             for start in range(0, whole.num_rows, rows):
                 b = whole.slice(start, rows)
-                x, x_ids = vectors(b), np.asarray(b.column("id"))
-                norm = np.sqrt((x * x).sum(1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    s = np.round((q @ x.T) / np.outer(q_norm, norm), digits)
-                s[~np.isfinite(s)] = 0.0  # a zero vector is like nothing
-                if skip_self:
-                    s[q_ids[:, None] == x_ids] = -np.inf
-                ids = np.concatenate([ids, np.broadcast_to(x_ids, s.shape)], 1)
-                score = np.concatenate([score, s], 1)
-                if score.shape[1] > k:
-                    at = np.lexsort((ids, -score), axis=1)[:, :k]
-                    ids, score = np.take_along_axis(ids, at, 1), np.take_along_axis(score, at, 1)
-        n = score.shape[1]
-        ok = np.isfinite(score).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)[ok]), pa.array(ids.ravel()[ok]), pa.array(score.ravel()[ok])], names=["query_id", "id", "score"])
+                s, x_ids = scores(b), np.asarray(b.column("id"))
+                n = s.shape[1]
+                kth = np.partition(s, n - k, axis=1)[:, n - k, None] if n > k else np.full((len(s), 1), -np.inf)
+                row, column = np.nonzero((s >= kth) & (s > -np.inf))
+                best = _first(k, *(np.concatenate(p) for p in zip(best, (row, x_ids[column], s[row, column]), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids.value[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query_id", "id", "score"])
 
     return run
 
 
+def _in_blocks(queries: DataFrame, block: int) -> Iterator[DataFrame]:
+    """queries (id, ...) in parts of about block rows."""
+    parts = max(1, -(-queries.count() // block))
+    for n in range(parts):
+        yield queries if parts == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == n)
+
+
+def _merged(parts: list[DataFrame], spark, k: int) -> DataFrame:
+    out = spark.createDataFrame([], "query_id long, id long, score double")
+    for p in parts:
+        out = out.unionByName(p)
+    return top_by(out, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
 def dense_topk(queries: DataFrame, points: DataFrame, k: int, *, vectors: Callable[[pa.RecordBatch], np.ndarray], digits: int = 6, skip_self: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, score, rank): the k points of the highest cosine for each query.
 
     queries (id, v) and points (id, v) are turned into rows of a matrix by `vectors`; scores are rounded, ties go by id.
     A zero vector has cosine 0. Empty tables give an empty result. Ids must not be null."""
-    spark = points.sparkSession
-    total = queries.count()
-    out = None
-    for n in range(max(1, -(-total // block))):
-        part = queries if total <= block else queries.where(F.pmod(F.xxhash64("id"), F.lit(-(-total // block))) == n)
-        found = pa.Table.from_pandas(part.toPandas(), preserve_index=False).combine_chunks()
-        batch = found.to_batches()[0] if found.num_rows else None
-        if batch is None:
+    spark, parts = points.sparkSession, []
+    for part in _in_blocks(queries, block):
+        found = part.toArrow().combine_chunks().to_batches()
+        if not found:
             continue
-        sent = spark.sparkContext.broadcast((np.asarray(batch.column("id")), vectors(batch)))
-        best = points.mapInArrow(_block_best(sent, vectors, k, digits, skip_self), "query_id long, id long, score double")
-        out = best if out is None else out.unionByName(best)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, id long, score double")
-    return top_by(out, ["query_id"], [F.desc("score"), F.asc("id")], k)
+        ids = spark.sparkContext.broadcast(np.asarray(found[0].column("id")))
+        q = spark.sparkContext.broadcast(vectors(found[0]))
+
+        def scores(b: pa.RecordBatch, q=q, ids=ids) -> np.ndarray:
+            x = vectors(b)
+            norms = np.outer(np.sqrt((q.value * q.value).sum(1)), np.sqrt((x * x).sum(1)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.round((q.value @ x.T) / norms, digits)
+            s[~np.isfinite(s)] = 0.0  # a zero vector is like nothing
+            if skip_self:
+                s[ids.value[:, None] == np.asarray(b.column("id"))] = -np.inf
+            return s
+
+        parts.append(points.select("id", "v").mapInArrow(_block_best(ids, scores, k), "query_id long, id long, score double"))
+    return _merged(parts, spark, k)
 
 
 def array_vectors(dim: int) -> Callable[[pa.RecordBatch], np.ndarray]:
@@ -106,9 +127,39 @@ def array_vectors(dim: int) -> Callable[[pa.RecordBatch], np.ndarray]:
     return vectors
 
 
+class _TokenIds(dict):
+    """A word's token numbers; each distinct word is split and hashed once in a task."""
+
+    _camel = re.compile("[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        if len(self) > 1 << 20:
+            self.clear()
+        low = word.lower()
+        parts = [low, *(p for p in map(str.lower, self._camel.findall(word)) if p != low)]
+        ids = self[word] = tuple(int.from_bytes(hashlib.sha256(t.encode()).digest()[:4], "big") % 2**31 for t in parts if len(t) >= 2)
+        return ids
+
+
+def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo, word = _TokenIds(), re.compile(WORD)
+    for b in batches:
+        sizes, tokens, counts = [], [], []
+        for t in b.column("text").to_pylist():
+            c = Counter(i for w in word.findall(t) for i in memo[w]) if t else {}
+            sizes.append(len(c))
+            tokens += c.keys()
+            counts += c.values()
+        at = pa.array(np.repeat(np.arange(b.num_rows), sizes))
+        yield pa.RecordBatch.from_arrays([b.column("id").take(at), pa.array(tokens, pa.int64()), pa.array(counts, pa.int64())], names=["id", "token_id", "tf"])
+
+
 def postings(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, token_id, tf); tokens whose numbers collide count as one."""
-    return texts.select(F.col(id_col).alias("id"), F.explode(identifier_tokens(text_col)).alias("token")).groupBy("id", token_id("token").alias("token_id")).agg(F.count("*").alias("tf"))
+    """(id, token_id, tf) for each row of texts; tokens whose numbers collide count as one.
+
+    The tokens are those of functions.text.identifier_tokens; as words repeat, a table of the words met makes this several
+    times faster than hashing every occurrence in the JVM, and nothing is shuffled. Null and empty texts have no rows."""
+    return texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_count_tokens, "id long, token_id long, tf long")
 
 
 def idf(posts: DataFrame, total: int) -> DataFrame:
@@ -117,16 +168,41 @@ def idf(posts: DataFrame, total: int) -> DataFrame:
     return posts.groupBy("token_id").agg(F.count("*").alias("df")).withColumn("idf", F.log((F.lit(float(total)) - n + 0.5) / (n + 0.5) + 1.0))
 
 
-def sparse_topk(queries: DataFrame, posts: DataFrame, total: int, k: int, digits: int = 6) -> DataFrame:
-    """(query_id, id, score, rank) by the sum of query count, point count and IDF over shared tokens.
+def sparse_topk(queries: DataFrame, points: DataFrame, weights: DataFrame, k: int, digits: int = 6, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, id, score, rank) by the sum of query count, point count and weight over shared tokens.
 
-    queries (id, text); posts as from postings(), best stored. Points that share no token don't come out."""
-    q = postings(queries).select(F.col("id").alias("query_id"), "token_id", F.col("tf").alias("q_tf"))
-    weights = idf(posts.join(q.select("token_id").distinct(), "token_id", "left_semi"), total).select("token_id", "idf")
-    hit = posts.join(q.join(weights, "token_id"), "token_id")
-    # a sum in the order of tokens is the same in every run, which ties depend on
-    scored = hit.groupBy("query_id", "id").agg(F.round(F.sum((F.col("q_tf") * F.col("tf") * F.col("idf")).cast("decimal(28,12)")).cast("double"), digits).alias("score"))
-    return top_by(scored, ["query_id"], [F.desc("score"), F.asc("id")], k)
+    queries and points (id, text); weights (token_id, idf) as from idf(). Points that share no token don't come out. The
+    queries' tokens are sent to the tasks and points scanned: a join would make a row for each point with a common word."""
+    spark, parts = points.sparkSession, []
+    for part in _in_blocks(queries, block):
+        tokens = postings(part).toPandas()
+        if not len(tokens):
+            continue
+        wanted = spark.createDataFrame([(int(t),) for t in tokens["token_id"].unique()], "token_id long")
+        known = {r.token_id: r.idf for r in weights.join(F.broadcast(wanted), "token_id", "left_semi").select("token_id", "idf").toLocalIterator()}
+        tokens = tokens[tokens["token_id"].isin(known)]
+        columns = {t: i for i, t in enumerate(sorted(known))}
+        q_ids, row = np.unique(tokens["id"].to_numpy(), return_inverse=True)
+        matrix = np.zeros((len(q_ids), len(columns)))
+        for r, t, tf in zip(row, tokens["token_id"], tokens["tf"], strict=True):
+            matrix[r, columns[t]] = tf * known[t]
+        ids, sent = spark.sparkContext.broadcast(q_ids), spark.sparkContext.broadcast((columns, matrix))
+        memo: list[_TokenIds] = []
+
+        def scores(b: pa.RecordBatch, sent=sent, memo=memo) -> np.ndarray:
+            columns, matrix = sent.value
+            memo or memo.append(_TokenIds())
+            x, word = np.zeros((b.num_rows, len(columns))), re.compile(WORD)
+            for i, t in enumerate(b.column("text").to_pylist()):
+                at = [c for w in word.findall(t) for j in memo[0][w] if (c := columns.get(j)) is not None] if t else []
+                if at:
+                    np.add.at(x[i], at, 1.0)
+            s = np.round(matrix @ x.T, digits)
+            s[s <= 0] = -np.inf
+            return s
+
+        parts.append(points.select("id", "text").mapInArrow(_block_best(ids, scores, k, 512), "query_id long, id long, score double"))
+    return _merged(parts, spark, k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int, constant: int = 2, digits: int = 6) -> DataFrame:

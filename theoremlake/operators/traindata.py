@@ -39,6 +39,22 @@ def with_side(f: DataFrame, test_fraction: float, holdout: DataFrame | None = No
     return f.join(forced, "cluster", "left").withColumn("is_test", F.coalesce("_held", by_hash)).drop("_held")
 
 
+def _first_by(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+
+
+def _names(f: DataFrame) -> DataFrame:
+    """A row for each (library, name): of its clusters the one with the first row and the one with the last (f1c, f1 and l1c,
+    l1), and the first and last row of any other cluster (f2, l2; null if there is none)."""
+    per = f.groupBy("library", "name", "stem", "relation", "lookalike", "cluster").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    w = Window.partitionBy("library", "name")
+    ranked = per.withColumns({"a": F.row_number().over(w.orderBy("first")), "z": F.row_number().over(w.orderBy(F.desc("last")))}).where("a <= 2 or z <= 2")
+    at = lambda flag, n, c: F.max(F.when(F.col(flag) == n, F.col(c)))
+    return ranked.groupBy("library", "name", "stem", "relation", "lookalike").agg(
+        at("a", 1, "cluster").alias("f1c"), at("a", 1, "first").alias("f1"), at("a", 2, "first").alias("f2"), at("z", 1, "cluster").alias("l1c"), at("z", 1, "last").alias("l1"), at("z", 2, "last").alias("l2")
+    )
+
+
 def hard_negatives(f: DataFrame, k: int = 5) -> DataFrame:
     """(seq, neg_seq, neg_name, class, place): up to k negatives of each declaration with a stem.
 
@@ -46,32 +62,45 @@ def hard_negatives(f: DataFrame, k: int = 5) -> DataFrame:
     it. Of rows of one name the last stands at the place of the first. Classes: 0 look-alike of the stem, 1 other
     relation, 2 none, 3 the same. f: features() with unique seq, best stored.
 
-    Of the rows that share (library, stem, name), stem and relation are equal, so only clusters differ; candidates are
-    therefore first reduced to one row for each name and cluster, and anchors to one for each name and cluster."""
-    anchors = f.where("stem <> ''").groupBy("library", "stem", "name", "cluster", F.col("relation").alias("a_relation")).agg(F.min("seq").alias("anchor"))
-    cands = f.groupBy("library", "name", "cluster", "stem", "relation", "lookalike").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
-    other = cands.select("library", F.col("stem").alias("c_stem"), F.col("name").alias("c_name"), F.col("cluster").alias("c_cluster"), F.col("relation").alias("c_relation"), "lookalike", "first_seq", "last_seq")
-    differs = (F.col("c_cluster") != F.col("cluster")) & (F.col("c_name") != F.col("name"))
-    siblings = anchors.join(other.withColumnRenamed("c_stem", "stem"), ["library", "stem"]).where(differs).withColumn("group", F.lit(0))
-    # look-alikes are few; the planner broadcasts them when they are small
-    look = anchors.join(other.where("lookalike and c_stem <> ''").drop("c_stem").unionByName(other.where("lookalike and c_stem = ''").drop("c_stem")), "library").where(differs & F.contains(F.lower("c_name"), "stem")).withColumn("group", F.lit(1))
-    columns = ["library", "stem", "name", "cluster", "a_relation", "anchor", "c_name", "c_relation", "lookalike", "first_seq", "last_seq", "group"]
-    one = (
-        siblings.select(*columns)
-        .unionByName(look.select(*columns))
-        .groupBy("library", "stem", "name", "cluster", "a_relation", "anchor", "c_name", "c_relation", "lookalike")
-        .agg(F.min(F.struct("group", "first_seq")).alias("at"), F.max(F.struct("group", "last_seq")).alias("last"))
-    )
-    kind = (
-        F.when(F.col("lookalike") & F.contains(F.lower("c_name"), "stem"), 0)
-        .when((F.size("c_relation") > 0) & (F.col("c_relation") != F.col("a_relation")), 1)
-        .when(F.size("c_relation") == 0, 2)
-        .otherwise(3)
+    No stem's rows meet each other. Candidates are first cut to those that can be among any anchor's k best: an anchor
+    leaves out one name, one cluster and (for class 1) one relation, so of each list as many more are kept as these can
+    take away, at most k + 1 of each cluster. That is some dozens for a stem, whatever its size, and loses nothing."""
+    names = _names(f)
+    own = names.where("stem <> ''").withColumn("g", F.lit(0)).withColumn("is_look", F.col("lookalike") & F.contains(F.lower("name"), "stem"))
+    stems = own.select("library", "stem").distinct()
+    look = stems.join(names.where("lookalike").withColumnRenamed("stem", "own_stem"), "library").where(F.contains(F.lower("name"), "stem"))
+    look = look.withColumns({"g": F.when(F.col("own_stem") == F.col("stem"), 0).otherwise(1), "is_look": F.lit(True)}).drop("own_stem")
+    all_ = own.where("not is_look").unionByName(look)
+    group = F.when(F.col("is_look"), F.array(F.lit("0"))).otherwise(F.concat(F.array(F.lit("r")), "relation"))
+    all_ = all_.withColumn("list", F.concat_ws(" ", group))
+    key = ["library", "stem"]
+    base = _first_by(_first_by(all_, [*key, "list", "f1c"], ["g", "f1", "name"], k + 1), [*key, "list"], ["g", "f1", "name"], 2 * k + 2)
+    related = base.where("not is_look and size(relation) > 0")
+    other = _first_by(_first_by(related, [*key, "f1c"], ["f1", "name"], 3 * k + 3), key, ["f1", "name"], 6 * k + 6)
+    # names whose first row is in the anchor's own cluster count from their first row in another
+    moved = _first_by(all_.where("f2 is not null"), [*key, "list", "f1c"], ["g", "f2", "name"], k + 1)
+    moved_other = _first_by(moved.where("not is_look and size(relation) > 0"), [*key, "f1c"], ["f2", "name"], 2 * k + 2)
+    any_relation = base.where("is_look or size(relation) = 0").unionByName(other)
+    moved_any = moved.where("is_look or size(relation) = 0").unionByName(moved_other)
+
+    anchors = f.where("stem <> ''").groupBy("library", "stem", "name", "cluster", "relation").agg(F.min("seq").alias("anchor"))
+    anchors = anchors.withColumnsRenamed({"name": "a_name", "relation": "a_relation"})
+    same_relation = lambda df: df.where("not is_look and size(relation) > 0").withColumn("a_relation", F.col("relation"))
+    met = (
+        anchors.join(any_relation, key)
+        .unionByName(anchors.join(same_relation(base), [*key, "a_relation"]))
+        .unionByName(anchors.join(moved_any.withColumn("cluster", F.col("f1c")), [*key, "cluster"]))
+        .unionByName(anchors.join(same_relation(moved).withColumn("cluster", F.col("f1c")), [*key, "a_relation", "cluster"]))
     )
-    w = Window.partitionBy("anchor").orderBy("class", "at", "c_name")
-    best = one.withColumn("class", kind).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    picks = best.select("library", "stem", "name", "cluster", F.col("last.last_seq").alias("neg_seq"), F.col("c_name").alias("neg_name"), "class", "place")
-    return f.where("stem <> ''").select("seq", "library", "stem", "name", "cluster").join(picks, ["library", "stem", "name", "cluster"]).select("seq", "neg_seq", "neg_name", "class", "place")
+    first = F.when(F.col("f1c") != F.col("cluster"), F.col("f1")).otherwise(F.col("f2"))
+    last = F.when(F.col("l1c") != F.col("cluster"), F.col("l1")).otherwise(F.col("l2"))
+    kind = F.when(F.col("is_look"), 0).when(F.size("relation") == 0, 2).when(F.col("relation") == F.col("a_relation"), 3).otherwise(1)
+    each = met.select(*key, "a_name", "cluster", "anchor", F.col("name").alias("neg_name"), "g", first.alias("first"), last.alias("neg_seq"), kind.alias("class"))
+    each = each.where("first is not null and neg_name <> a_name").dropDuplicates([*key, "a_name", "cluster", "neg_name"])
+    w = Window.partitionBy(*key, "a_name", "cluster").orderBy("class", "g", "first", "neg_name")
+    best = each.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(*key, "a_name", "cluster", "neg_seq", "neg_name", "class", "place")
+    rows = f.where("stem <> ''").select("seq", "library", "stem", F.col("name").alias("a_name"), "cluster")
+    return rows.join(best, [*key, "a_name", "cluster"]).select("seq", "neg_seq", "neg_name", "class", "place")
 
 
 def same_side(negatives: DataFrame, sides: DataFrame) -> DataFrame:

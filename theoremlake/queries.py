@@ -104,8 +104,9 @@ def _dense(spark: SparkSession, d: str, k: int, where=None) -> DataFrame:
 
 
 def _sparse(spark: SparkSession, d: str, k: int) -> DataFrame:
-    posts = written(search.postings(_decls(spark, d).select("decl_id", D.sparse_text().alias("text")), "decl_id"), "postings")
-    return search.sparse_topk(_searches(spark, d), posts, _read(spark, d, "declarations").count(), k)
+    points = _decls(spark, d).select(F.col("decl_id").alias("id"), D.sparse_text().alias("text"))
+    weights = written(search.idf(search.postings(points), _read(spark, d, "declarations").count()), "idf")
+    return search.sparse_topk(_searches(spark, d).select("id", "text"), points, weights, k)
 
 
 def _named(found: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ class Service:
         from theoremlake.functions.declarations import sparse_text
 
         texts = rows.select(F.xxhash64(F.col("id").cast("string")).alias("id"), sparse_text().alias("text"))
-        return search.fuse(dense, search.sparse_topk(queries, search.postings(texts), texts.count(), pool), pool)
+        weights = written(search.idf(search.postings(texts), texts.count()), "idf")
+        return search.fuse(dense, search.sparse_topk(queries, texts, weights, pool), pool)
 
     def search(self, q: str, limit: int = 10, lib: str | None = None, kind: str | None = None, chapter: str | None = None, client: str | None = None) -> dict:
         """The reply to one query; W8: Rejected(400) for a blank query, Rejected(422) for a limit outside 1 to 50."""
