@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -55,8 +57,6 @@ def passthrough(hits: DataFrame, limit: int) -> DataFrame:
 def cross_encode(hits: DataFrame, limit: int, score: Callable[[list[tuple[str, str]]], list[float]]) -> DataFrame:
     """Hits (query_id, id, rank, query, document) in the order of a model's score, shown through the logistic function.
     score gets (query, document) pairs of a batch."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def scored(query: pd.Series, document: pd.Series) -> pd.Series:
         return pd.Series(score(list(zip(query, document, strict=True))), dtype="float64")
@@ -74,4 +74,5 @@ def rerank(hits: DataFrame, limit: int, mode: str = "auto", **options) -> DataFr
     try:
         return cross_encode(hits, limit, **options) if mode == "cross" else reciprocal_rank(hits, limit, **options)
     except Exception:
+        logging.getLogger(__name__).warning("reranking failed, hits keep the order of retrieval", exc_info=True)
         return passthrough(hits, limit)

@@ -81,7 +81,7 @@ def read_sources(spark: SparkSession, specs: list[str], include: list[str] | Non
         full = F.regexp_replace("path", r"^file:/+", "/")
         files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(base)
         rel = F.substring(full, len(base.rstrip("/")) + 2, 1 << 20)
-        part = files.where(under(rel, include)).select(F.lit(library).alias("library"), rel.alias("file_path"), full.alias("source_path"), F.decode("content", "UTF-8").alias("text"))
+        part = files.where(under(rel, include)).select(F.lit(library).alias("library"), rel.alias("file_path"), full.alias("source_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
         out = part if out is None else out.unionByName(part)
     if out is None:
         raise ValueError("no source given")

@@ -58,7 +58,7 @@ def calls_in_window(events: DataFrame, window_seconds: int, key: str = "key", ts
 
 def limit_rate_stream(events: DataFrame, limit: int, window_seconds: float, key: str = "key", ts: str = "ts", tie: str = "id") -> DataFrame:
     """limit_rate for a stream: state of a key is the times of its accepted calls. Within a trigger calls are put in order;
-    a call older than the state's last one is judged when it comes. Idle keys are dropped after the window."""
+    a call older than the state's last one is judged when it comes. A key keeps at most `limit` times."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     micros = int(window_seconds * 1_000_000)
@@ -66,16 +66,12 @@ def limit_rate_stream(events: DataFrame, limit: int, window_seconds: float, key:
     def judge(k, frames, state):
         import pandas as pd
 
-        if state.hasTimedOut:
-            state.remove()
-            return
         recent = deque(state.get[0] if state.exists else [])
         pdf = pd.concat(list(frames)).sort_values(["at", "tie"], kind="stable")
         accepted = [decide(recent, int(at), limit, micros) for at in pdf["at"]]
         state.update((list(recent),))
-        state.setTimeoutDuration(max(1000, micros // 1000))
         yield pd.DataFrame({"key": [k[0]] * len(pdf), "at": pdf["at"].to_numpy(), "tie": pdf["tie"].to_numpy(), "accepted": accepted})
 
     src = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(tie).cast("long").alias("tie"))
-    out = src.groupBy("key").applyInPandasWithState(judge, "key string, at long, tie long, accepted boolean", "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    out = src.groupBy("key").applyInPandasWithState(judge, "key string, at long, tie long, accepted boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
     return out.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("tie").alias(tie), "accepted")
