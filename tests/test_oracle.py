@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 DATA = "/root/testdata/sf0.001"
@@ -10,7 +11,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables
 
 def _rows(df):
     df = df[sorted(df.columns)]
-    clean = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
+    clean = lambda v: None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
     return sorted((tuple(map(clean, r)) for r in df.itertuples(index=False)), key=repr)
 
 
