@@ -62,3 +62,12 @@ To be written|Coming soon|Hier steht bald|Ici viendra|Aquí irá|Texte d'exemple
         assert residue._RESIDUE.match(s), s
         assert [x[0] for x in residue.segments(s)] == [residue.RESIDUE], s
     assert [x[0] for x in residue.segments("fixing the httpd rule of xx")] == [residue.CONTENT]
+
+
+def test_equal_masked_segments_keep_the_highest_label(spark):
+    texts = ["File {{ path }}.\nFile null.", "File null.\nFile {{ path }}."]
+    for t in texts:
+        assert residue._distinct(residue.segments(t)) == {"file f": (residue.FIELDS, True)}
+    for i, t in enumerate(texts):  # each alone, as another page would label the segment
+        df = spark.createDataFrame([(i, t + "\nA real sentence about rings.")], "doc_id long, text string")
+        assert [r.doc_id for r in residue.residue_pages(df).collect()] == [i]
