@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from theoremlake.llm import residue
+from theoremlake.llm import knn, residue
 
 
 def _shingle_set(words):
@@ -71,3 +71,20 @@ def test_equal_masked_segments_keep_the_highest_label(spark):
     for i, t in enumerate(texts):  # each alone, as another page would label the segment
         df = spark.createDataFrame([(i, t + "\nA real sentence about rings.")], "doc_id long, text string")
         assert [r.doc_id for r in residue.residue_pages(df).collect()] == [i]
+
+
+def test_recall_of_deep_forests():
+    rng, forest = np.random.default_rng(2), knn.Forest(leaf=60, sample=8192, min_sample=8)
+    x = (rng.standard_normal((2000, 1, 64)) + 0.25 * rng.standard_normal((2000, 15, 64))).reshape(-1, 64).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def recall(depth):
+        trees = knn._Trees(x[rng.permutation(len(x))[: forest.sample]], depth, forest)
+        home, q = trees.visit(x, forest.trees)[0], np.arange(0, len(x), 60)
+        seen, near = trees.visit(x[q], forest.visits_at(depth))[0], x[q] @ x.T
+        near[np.arange(len(q)), q] = -2
+        return np.mean([np.isin(home[np.argsort(-n)[:5]], s).any(1) for n, s in zip(near, seen, strict=True)])
+
+    assert forest.visits_at(2) == forest.visits_at(5) == 5 and forest.visits_at(9) > 5
+    print(recall(5), recall(9))
+    assert recall(9) > recall(5) - 0.03

@@ -29,16 +29,22 @@ _STEP = np.float32(1 / 32767)
 
 @dataclass(frozen=True)
 class Forest:
-    """trees and visits: leaves a vector is indexed in, and searched for in. leaf: vectors in a leaf that is aimed at.
+    """trees and visits: leaves a vector is indexed in, and searched for in, the latter in trees of up to `shallow` levels;
+    each further level takes `more` visits more, so that recall stays alike. leaf: vectors in a leaf that is aimed at.
     sample: vectors the trees are fitted on; a leaf holds at least min_sample of them, which bounds the depth."""
 
     trees: int = 3
     visits: int = 5
+    shallow: int = 5
+    more: int = 2
     leaf: int = 4000
     sample: int = 16_384
     min_sample: int = 32
     seed: int = 7
 
+    def visits_at(self, depth: int) -> int:
+        return self.visits + self.more * max(0, depth - self.shallow)
+
 
 class _Trees:
     """Complete binary trees of one depth: direction and threshold of each inner node, the root at 1."""
@@ -260,7 +266,7 @@ def most_similar(df: DataFrame, k: int = 5, dims: int = 64, id_col: str = "point
     x = np.frombuffer(b"".join(r.q for r in sample), np.int16).reshape(-1, dims) * _STEP
     depth = max(0, min(math.ceil(math.log2(max(1, total / forest.leaf))), int(math.log2(max(1, len(x) / forest.min_sample)))))
     trees = spark.sparkContext.broadcast(_Trees(x, depth, forest))
-    routed = unique.select("id", "q").mapInArrow(_route(trees, forest.visits, dims), "leaf int, own boolean, id long, q binary")
+    routed = unique.select("id", "q").mapInArrow(_route(trees, forest.visits_at(depth), dims), "leaf int, own boolean, id long, q binary")
     found = routed.groupBy("leaf").applyInArrow(_search(k + 3, dims, forest), "id long, near binary, score binary")
     merged = written(found.repartition("id").sortWithinPartitions("id").mapInArrow(_merge(k, dims), "id long, near long, score double, slots int"), "p5-merged")
     open_ = merged.where("slots > 0").select("id", "near", "slots")
