@@ -88,3 +88,18 @@ def test_recall_of_deep_forests():
     assert forest.visits_at(2) == forest.visits_at(5) == 5 and forest.visits_at(9) > 5
     print(recall(5), recall(9))
     assert recall(9) > recall(5) - 0.03
+
+
+def test_neighbours_among_near_equal_vectors(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal(64)
+    x = np.concatenate([centre + 3e-5 * rng.standard_normal((40, 64)), centre + 0.5 * rng.standard_normal((20, 64))])
+    x = (x * rng.uniform(0.5, 2, (60, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, dense array<float>")
+    got = {}
+    for r in knn.most_similar(df).collect():
+        got.setdefault(r.id, set()).add(r.near)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    assert got == {i: set(np.argsort(-s[i])[:5].tolist()) for i in range(60)}

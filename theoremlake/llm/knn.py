@@ -25,6 +25,8 @@ from theoremlake.plans.scratch import written
 #: Pairs that are decided by exact cosines are broadcast up to this number, joined beyond it.
 BROADCAST_PAIRS = 1_000_000
 _STEP = np.float32(1 / 32767)
+#: Candidates a leaf keeps beyond k at least.
+_SPARE = 3
 
 
 @dataclass(frozen=True)
@@ -114,6 +116,12 @@ def _usable(dims: int):
     return run
 
 
+def _doubt(dims: int) -> float:
+    """The gap of two rounded cosines up to which exact ones decide: two vectors, each at most sqrt(dims) half steps off, on
+    both sides of the gap."""
+    return 4 * math.sqrt(dims) * float(_STEP) / 2
+
+
 def _vectors(column: pa.Array, dims: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int16).reshape(-1, dims) * _STEP
 
@@ -147,7 +155,9 @@ def _best(s: np.ndarray, k: int, width: int = 16) -> np.ndarray:
 
 
 def _search(k: int, dims: int, f: Forest, rows: int = 512):
-    """applyInArrow function of a leaf: for each visitor the k best members, as packed ids and scores."""
+    """applyInArrow function of a leaf: for each visitor the k best members, a few more, and all whose rounded cosine
+    leaves in doubt whether they are among the k, as packed ids and scores."""
+    doubt = _doubt(dims)
 
     def brute(member: np.ndarray, visitor: np.ndarray, x: np.ndarray, ids: np.ndarray, out: list) -> None:
         member = member[np.argsort(ids[member], kind="stable")]
@@ -162,8 +172,16 @@ def _search(k: int, dims: int, f: Forest, rows: int = 512):
             at = np.searchsorted(y_ids, ids[v]).clip(max=len(member) - 1)
             self_ = np.flatnonzero(y_ids[at] == ids[v])
             s[self_, at[self_]] = -2
-            at = _best(s, min(k, len(member)), width)
-            out.append((v, y_ids[at.clip(max=len(member) - 1)], np.take_along_axis(s, at, 1)))
+            at = _best(s, min(k + _SPARE, len(member)), width)
+            best = np.take_along_axis(s, at, 1)
+            full = np.zeros(len(v), bool)
+            if len(member) > k + _SPARE:
+                floor = np.partition(best, _SPARE, axis=1)[:, _SPARE] - doubt  # the k-th less what is in doubt
+                full = (best.min(1) >= floor) & (floor > -1.5)
+                for r in np.flatnonzero(full):
+                    c = np.flatnonzero(s[r, : len(member)] >= floor[r])
+                    out.append((v[r : r + 1], y_ids[c][None], s[r, c][None]))
+            out.append((v[~full], y_ids[at[~full].clip(max=len(member) - 1)], best[~full]))
 
     def solve(member: np.ndarray, visitor: np.ndarray, x: np.ndarray, ids: np.ndarray, out: list, rng: np.random.Generator) -> None:
         # a leaf far beyond its size (more vectors than a sample of this size can tell apart) is split where it is
@@ -198,7 +216,7 @@ def _search(k: int, dims: int, f: Forest, rows: int = 512):
 def _merge(k: int, dims: int):
     """Rows sorted by id to (id, near, rank, score, slots): the k nearest; where slots is above 0, exact cosines must choose
     so many of the rows of this id that have it."""
-    doubt = 4 * math.sqrt(dims) * float(_STEP) / 2  # two vectors, each at most sqrt(dims) half steps off, on both sides of a gap
+    doubt = _doubt(dims)
 
     def best(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -267,7 +285,7 @@ def most_similar(df: DataFrame, k: int = 5, dims: int = 64, id_col: str = "point
     depth = max(0, min(math.ceil(math.log2(max(1, total / forest.leaf))), int(math.log2(max(1, len(x) / forest.min_sample)))))
     trees = spark.sparkContext.broadcast(_Trees(x, depth, forest))
     routed = unique.select("id", "q").mapInArrow(_route(trees, forest.visits_at(depth), dims), "leaf int, own boolean, id long, q binary")
-    found = routed.groupBy("leaf").applyInArrow(_search(k + 3, dims, forest), "id long, near binary, score binary")
+    found = routed.groupBy("leaf").applyInArrow(_search(k, dims, forest), "id long, near binary, score binary")
     merged = written(found.repartition("id").sortWithinPartitions("id").mapInArrow(_merge(k, dims), "id long, near long, score double, slots int"), "p5-merged")
     open_ = merged.where("slots > 0").select("id", "near", "slots")
     if open_.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
