@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from theoremlake.llm import knn, residue
+from theoremlake.llm import knn, leak, queries, residue
 
 
 def _shingle_set(words):
@@ -103,3 +103,42 @@ def test_neighbours_among_near_equal_vectors(spark):
     s = u @ u.T
     np.fill_diagonal(s, -2)
     assert got == {i: set(np.argsort(-s[i])[:5].tolist()) for i in range(60)}
+
+
+def test_near_items_against_brute_force(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(f"w{rng.randrange(60)}" for _ in range(n))) for i, n in enumerate([2, 7, 9, 12, 16, 20, 28, 44] * 3)]
+    texts = [None, "", "w1"]
+    for _, t in items:
+        for edits in range(5):
+            w = t.split()
+            for _ in range(edits):
+                at = rng.randrange(len(w))
+                w[at : at + rng.randrange(2)] = [f"v{rng.randrange(60)}"]
+            cut = rng.randrange(3)
+            texts += [" ".join(w), " ".join(w[cut:]), " ".join([*(f"w{rng.randrange(60)}" for _ in range(9)), *w[len(w) // 2 :], *w[: len(w) // 2], "x y z"])]
+    corpus = spark.createDataFrame([("d", i, t) for i, t in enumerate(texts)], "corpus string, id long, text string")
+    table = spark.createDataFrame([*items, (90, None), (91, "")], "id long, text string")
+    want = {}
+    for i, t in items:
+        b = tuple(t.split())
+        for r, x in enumerate(texts):
+            a = tuple((x or "").split())
+            like = max((leak.shingle_likeness(a[s : s + len(b)], b) for s in range(max(1, len(a) - len(b) + 1))), default=0)
+            if like >= 0.8:
+                want[r, i] = round(like, 9)
+    for a_pass in (20_000, 10):
+        got = {(r.record_id, r.item_id): round(r.likeness, 9) for r in leak.near_items(corpus, table, items_a_pass=a_pass).collect()}
+        assert got == want and sum(v < 1 for v in want.values()) > 30
+    assert leak.near_items(corpus, table.limit(0)).count() == 0 and leak.near_items(corpus.limit(0), table).count() == 0
+
+
+def test_report_counts_near_leaks(spark, tmp_path):
+    item = [f"word{i}" for i in range(15)]
+    moved, shorter = " ".join(["so", *item[7:14], *item[:7], "x"]), " ".join([*item[:7], *item[8:]])  # runs of seven words
+    docs = [(1, " ".join(["so", *item])), (2, shorter), (3, "nothing here")]
+    spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item[:14]))], "query_id long, query string").write.parquet(f"{tmp_path}/nl_queries.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, "train", moved), (6, "test", moved)], "decl_id long, split string, nl_description string").write.parquet(f"{tmp_path}/declarations.parquet")
+    got = {(r.query_id, r.corpus): (r.records, r.word_for_word) for r in queries.p1_report(spark, str(tmp_path)).collect()}
+    assert got[1, "documents"] == (2, 1) and got[2, "declarations"] == (1, 0)

@@ -4,6 +4,9 @@ An item is a held-out text; its passages are all its runs of `window` words, or
 window of a corpus text that is as long as some passage gets a SimHash; blocks of the 64 bits are looked up in tables
 of the passages' blocks. With one block more than the radius, two fingerprints within the radius agree in a block, so
 none is missed. The shingles of candidate windows and passages are then compared exactly.
+
+Items that stand in a text with small changes are looked for by windows as long as the item: a window of the wanted
+likeness has at least one of a few pairs of neighbours of the item, and most of the item's pairs.
 """
 
 from __future__ import annotations
@@ -21,12 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from theoremlake.llm.pairs import mix
+
 _TAG = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|<[!?][^<>]*>", re.S)
 _WORD = re.compile(r"[^\W_]+")
 _INVISIBLE_CHARS = [chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cf"]
 _INVISIBLE = re.compile("[" + "".join(map(re.escape, _INVISIBLE_CHARS)) + "]+")
 #: Passages that one pass over the corpus looks for; more are looked for in further passes.
 PASSAGES_A_PASS = 200_000
+#: Items that one pass over the corpus compares whole.
+ITEMS_A_PASS = 20_000
 #: Words of which windows are made at once.
 _CHUNK = 1 << 15
 _MEMO_WORDS = 1 << 20
@@ -203,3 +210,81 @@ def leaked_items(corpus: DataFrame, items: DataFrame, *, window: int = 8, radius
         tables = [Passages(size, np.array([i for i, _ in g], np.int64), np.frombuffer(b"".join(w for _, w in g), np.uint64).reshape(-1, size), radius) for size, g in sorted(groups.items())]
         out = out.unionByName(src.mapInArrow(_scan(spark.sparkContext.broadcast(tables), min_likeness), out.schema))
     return out if passes < 2 else out.groupBy("corpus", "record_id", "item_id").agg(F.max("likeness").alias("likeness"), F.max("same").alias("same"))
+
+
+def _pairs_of(words: np.ndarray) -> np.ndarray:
+    """A hash of each two neighbours."""
+    return mix(words[:-1] + np.uint64(3) * words[1:])
+
+
+class _Whole:
+    """Items compared whole. Of an item of weight w a window of the likeness t lacks w * (1 - t) at most, and each pair that
+    it lacks weighs 2; so it has one of any `lacking` + 1 pairs, here those that the fewest items have."""
+
+    def __init__(self, items: list[tuple[int, bytes]], min_likeness: float) -> None:
+        self.item = [i for i, _ in items]
+        self.words = [np.frombuffer(w, np.uint64) for _, w in items]
+        self.pairs = [np.unique(_pairs_of(w)) for w in self.words]
+        self.lacking = [int((3 * len(w) - 2) * (1 - min_likeness) / 2 + 1e-9) for w in self.words]
+        common, keyed = Counter(x for p in self.pairs for x in p.tolist()), []
+        for n, p in enumerate(self.pairs):
+            keyed += [(x, n) for x in sorted(p.tolist(), key=lambda x: (common[x], x))[: self.lacking[n] + 1]]
+        keyed.sort()
+        self.key, self.of = np.array([k for k, _ in keyed], np.uint64), np.array([n for _, n in keyed], np.int64)
+        self.known = np.zeros(1 << 20, bool)  # a first look, by the low bits
+        self.known[(self.key & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+
+    def likeness(self, text: np.ndarray, pairs: np.ndarray, n: int) -> float:
+        """The highest likeness of a window of text (all of it, if it is shorter) to item n; 0 if it is surely below the wanted."""
+        words, size = self.words[n], min(len(self.words[n]), len(text))
+        has = np.concatenate([[0], np.cumsum(np.isin(pairs, self.pairs[n]))])
+        starts = np.flatnonzero(has[size - 1 :] - has[: len(has) - size + 1] >= len(words) - 1 - self.lacking[n])
+        return max((shingle_likeness(tuple(text[i : i + size].tolist()), tuple(words.tolist())) for i in starts.tolist()), default=0.0)
+
+    def found(self, flat: np.ndarray, record: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """(record, item number, likeness) of those that share a key; flat holds the words of the records one after the other."""
+        pairs = _pairs_of(flat)
+        at = np.flatnonzero(self.known[(pairs & np.uint64((1 << 20) - 1)).astype(np.int64)] & (record[:-1] == record[1:]))
+        lo, hi = np.searchsorted(self.key, pairs[at], "left"), np.searchsorted(self.key, pairs[at], "right")
+        n = hi - lo
+        at, of = np.repeat(at, n), self.of[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        for r, k in np.unique(np.stack([record[at], of], 1), axis=0).tolist():
+            i, j = np.searchsorted(record, [r, r + 1])
+            if j - i > 1:
+                yield r, k, self.likeness(flat[i:j], pairs[i : j - 1], k)
+
+
+def _scan_whole(whole_items, min_likeness: float, rows: int = 256):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, items = _Memo(), whole_items.value
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
+                if len(memo) > _MEMO_WORDS:
+                    memo.clear()
+                words = [words_of(t) if t else [] for t in b.column("text").to_pylist()]
+                flat = np.fromiter(map(memo.__getitem__, (w for x in words for w in x)), np.uint64)
+                record = np.repeat(np.arange(b.num_rows), [len(x) for x in words])
+                found = [x for x in items.found(flat, record) if x[2] >= min_likeness] if len(flat) > 1 else []
+                at = pa.array([x[0] for x in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("corpus").take(at), b.column("id").take(at), pa.array([items.item[x[1]] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.float64())], names=["corpus", "record_id", "item_id", "likeness"]
+                )
+
+    return run
+
+
+def near_items(corpus: DataFrame, items: DataFrame, *, min_likeness: float = 0.8, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+    """(corpus, record_id, item_id, likeness): for each record of corpus and item of two words or more, shaped as in
+    leaked_items, the highest likeness of the item and a window of as many words, where it is min_likeness or more. None is
+    missed. A text shorter than the item is one window. Nulls, empty texts and tables, and the passes are as there."""
+    spark = corpus.sparkSession
+    each = items.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(_item_passages(1 << 30), "item_id long, words binary").distinct().where(F.length("words") > 8)
+    out = spark.createDataFrame([], "corpus string, record_id long, item_id long, likeness double")
+    src = corpus.select(F.col("corpus").cast("string").alias("corpus"), F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    passes = -(-each.count() // items_a_pass)
+    for n in range(passes):
+        mine = each if passes == 1 else each.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(passes)) == n)
+        table = _Whole([(r.item_id, bytes(r.words)) for r in mine.toLocalIterator()], min_likeness)
+        out = out.unionByName(src.mapInArrow(_scan_whole(spark.sparkContext.broadcast(table), min_likeness), out.schema))
+    return out

@@ -14,9 +14,9 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
 
-def _leaks(spark: SparkSession, d: str) -> DataFrame:
+def _leak_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Corpus and items."""
     from theoremlake.llm.content import split_kind
-    from theoremlake.llm.leak import leaked_items
 
     decls = _read(spark, d, "declarations").where(split_kind(F.col("split")) == "train")
     corpus = (
@@ -24,17 +24,25 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
         .select(F.lit("documents").alias("corpus"), F.col("doc_id").alias("id"), "text")
         .unionByName(decls.select(F.lit("declarations").alias("corpus"), F.col("decl_id").alias("id"), F.col("nl_description").alias("text")))
     )
-    return leaked_items(corpus, _read(spark, d, "nl_queries").select(F.col("query_id").alias("id"), F.col("query").alias("text")))
+    return corpus, _read(spark, d, "nl_queries").select(F.col("query_id").alias("id"), F.col("query").alias("text"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Records that hold eight consecutive words, or all, of an evaluation query."""
-    return _leaks(spark, d).where("same").select(F.col("item_id").alias("query_id"), "corpus", "record_id").distinct()
+    from theoremlake.llm.leak import leaked_items
+
+    return leaked_items(*_leak_tables(spark, d)).where("same").select(F.col("item_id").alias("query_id"), "corpus", "record_id").distinct()
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    """For each evaluation query that leaked, word for word or nearly, the number of records that give it away."""
-    return _leaks(spark, d).groupBy(F.col("item_id").alias("query_id"), "corpus").agg(F.count("*").alias("records"), F.count_if("same").alias("word_for_word"))
+    """For each evaluation query that leaked, a passage word for word or the whole nearly, the number of records that give it
+    away."""
+    from theoremlake.llm.leak import leaked_items, near_items
+
+    tables = _leak_tables(spark, d)
+    both = leaked_items(*tables).drop("likeness").unionByName(near_items(*tables).drop("likeness").withColumn("same", F.lit(False)))
+    each = both.groupBy("corpus", "record_id", "item_id").agg(F.max("same").alias("same"))
+    return each.groupBy(F.col("item_id").alias("query_id"), "corpus").agg(F.count("*").alias("records"), F.count_if("same").alias("word_for_word"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
