@@ -346,8 +346,12 @@ def strided_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _source_files(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").where("doc_kind = 'source'")
-    return docs.select(F.coalesce("library", F.lit("unknown")).alias("library"), F.concat(F.lit("docs/d"), "doc_id", F.lit(".v")).alias("file_path"), F.col("source").alias("source_path"), "text")
+    """Documents that are sources, and those of unknown kind that hold a declaration."""
+    docs = _read(spark, d, "documents").where("doc_kind = 'source' or doc_kind is null")
+    files_ = docs.select("doc_kind", F.coalesce("library", F.lit("unknown")).alias("library"), F.concat(F.lit("docs/d"), "doc_id", F.lit(".v")).alias("file_path"), F.col("source").alias("source_path"), "text")
+    untold = files_.where("doc_kind is null")
+    sources = untold.join(parse.parse_sources(untold).select("file_path"), "file_path", "left_semi")
+    return files_.where("doc_kind = 'source'").unionByName(sources).drop("doc_kind")
 
 
 def parse_declarations(spark: SparkSession, d: str) -> DataFrame:
