@@ -34,34 +34,62 @@ def test_residue_keys_miss_no_pair():
 
 def test_residue_labels_spread_at_the_stated_likeness(spark):
     tail = [f"word{i}" for i in range(40)]
-    trusted = " ".join(["Please enable JavaScript here", *tail])
-    near = " ".join(["Kindly enable JavaScript here", *tail])  # 39 of 41 shingles
-    chained = " ".join(["Kindly enable JavaScript here", *tail[:-3], "other", *tail[-2:]])  # linked with near only
-    far = " ".join(["Kindly enable JavaScript here", *tail[:20], "other", *tail[21:30], "more", *tail[31:]])
+    trusted = " ".join(["Error 503", *tail])
+    near = " ".join(["Problem 503", *tail])  # 37 of 39 shingles
+    chained = " ".join(["Problem 503", *tail[:-3], "other", *tail[-2:]])  # linked with near only
+    far = " ".join(["Problem 503", *tail[:20], "other", *tail[21:30], "more", *tail[31:]])
     rows = list(enumerate([trusted, near, chained, far, "A real sentence about rings."]))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in residue.residue_pages(df).collect()} == {0, 1, 2}
 
 
-def test_gate_of_the_residue_pattern():
-    begin = """HTTP/1.1 404 Not Found|HTTP404 not found|Error 500|Error500|Erreur 404|Fehler404|Oops|Page not found|Not found|Page introuvable|Seite nicht gefunden|Página no encontrada|Access denied|Accès refusé
-Zugriff verweigert|Acceso denegado|Forbidden|Internal Server Error|Erreur interne du serveur|Interner Serverfehler|Error interno del servidor|Service unavailable|Service indisponible|Dienst nicht verfügbar
-Servicio no disponible|Bad gateway|Gateway time-out|Too many requests|Not acceptable|Session expired|Sesión caducada|Session expirée|Sitzung abgelaufen|Something broke|Une erreur est survenue|Algo salió mal
-Beim Laden ist etwas schiefgelaufen|Etwas schiefgelaufen|Beim Anzeigen der Seite|This page isn't available|The requested page could not|Requested page was not|Linked page does not|No such page|Le document demandé
-Das angeforderte Dokument|El documento solicitado|The server is|The upstream|We're down|If the problem persists|Please contact the admin|Merci de réessayer|Bitte versuchen Sie es|Vuelva a intentarlo|A intentarlo
-Try again|Réessayer|Versuchen Sie es|Return to the start|Please sign in|The link you followed|You don't have permission|Vous n'avez pas les droits|Sie haben keine Berechtigung|No tiene permiso
-You have sent too many|Wait 30 seconds|This may take a few|Traceback (most recent call last)|File "a.py", line 3|ValueError: x|my_error: x|Some_Exception: x|at f.g (a.js:3)|goroutine 1|panic: x|line 3: select|Fatal error
-Uncaught exception|PHP Warning: undefined|Notice: undefined|undefined index|Undefined index|Exception in thread|Segmentation fault|{"error"|<error>|NoSuchKey|<?xml|Please enable JavaScript|Bitte aktivieren Sie Cookies
-Veuillez activer JavaScript|Por favor, active JavaScript|You need to turn on scripts|Turn on scripts|Allow cookies|Activate scripts|Activez les cookies|Autorisez les cookies|Activa JavaScript|Habilite JavaScript|Allow them and
-Your browser|Ihr Browser|Votre navigateur|Su navegador|Tu navegador|This page needs scripts|Diese Seite braucht JavaScript|Cette page demande JavaScript|Esta página requiere scripts|Ce site JavaScript|JavaScript is|Scripts are
-Skripte sind|Cookies must|Les cookies sont|Las cookies están|Los scripts deben|noscript|Sorry, this needs JS|The viewer cannot start|Loading...|Chargement…|Cargando...|Laden...|Wird geladen...|If nothing happens
-Checking if|Verifying|Just a moment|One moment|Vérification|Überprüfung|Comprobando|Lorem ipsum|This is a dummy text|Das ist ein Blindtext|Just dummy text|Only sample text|Nur Blindtext|Placeholder text|Filler text|A sample text
-Ein Blindtext|Heading 3|Body text|Your text here|Insert name here|Content coming soon|Contenu à venir|Contenido próximamente|Inhalt folgt|Description to be added|Beschreibung folgt|Descripción pendiente|Text folgt|Replace this
-To be written|Coming soon|Hier steht bald|Ici viendra|Aquí irá|Texte d'exemple|Texto de relleno|TBD|TODO|TBA|XXX|xxxx"""
-    for s in begin.replace("\n", "|").split("|"):
-        assert residue._RESIDUE.match(s), s
+def test_residue_labels_spread_through_pages_of_repeated_wording(spark):
+    texts = [
+        "404 Not Found\nThe shelf is gone.",  # linked with the next pages by its second segment
+        "404 Not Found\nThe shelf is gone.\nPlease ask the librarian.",
+        "Please ask the librarian.\nWe are sorry for this.",
+        "We are sorry for this.",
+        "Thanks a lot.",  # repeated, but not linked
+        "Thanks a lot.\nIt works for me now.",
+        "It works for me now.",
+        "Session expired\nThis sentence stands nowhere else.",  # has a sentence of its own
+        "Forbidden\nQed.",  # Qed stands on real pages, so it isn't known to be residue
+        *(f"Qed.\nA real sentence about ring number {'abcdefgh'[i]}." for i in range(8)),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue_pages(df).collect()} == {0, 1, 2, 3}
+    copies = spark.createDataFrame([(i, "Forbidden\nOne sentence.\nOne more.") for i in range(5)], "doc_id long, text string")
+    assert residue.residue_pages(copies).count() == 0  # copies of one page are no other make-up
+
+
+def test_possible_fields_need_a_trusted_one(spark):
+    texts = ["Kept by @author@ since <year>.", "Kept by {{ author }} since {{ year }}.", "Kept by null since undefined. A real sentence about rings.", "Write <name> for the name.", "Lists are kept by @author@ here."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue_pages(df).collect()} == {0, 1, 2}
+    assert residue.residue_pages(df.where("doc_id <> 1")).count() == 0
+
+
+def test_trusted_forms():
+    machine = """HTTP/1.1 404 Not Found|HTTP404 not found|Error 500|Error500|Erreur 404|Fehler404|502 Bad Gateway|Traceback (most recent call last)|File "a.py", line 3|ValueError: x|my_error: x|Some_Exception: x|at f.g (a.js:3)|goroutine 1|panic: x|line 3: select
+PHP Warning: undefined|Notice: undefined|Uncaught exception: x|Exception in thread|{"error"|<error>|<?xml|blah blah blah|Lorem ipsum dolor sit amet"""
+    for s in [*machine.replace("\n", "|").split("|"), *residue.SEEDS]:
         assert [x[0] for x in residue.segments(s)] == [residue.RESIDUE], s
-    assert [x[0] for x in residue.segments("fixing the httpd rule of xx")] == [residue.CONTENT]
+    assert residue.segments("Session expired you may sign in again") == [(residue.RESIDUE, "session expired", False), (residue.CONTENT, "you may sign in again", False)]
+    assert [x[0] for x in residue.segments("404 lemmas were ported.\nfixing the httpd rule of xx\nWarning: this is slow")] == [residue.CONTENT] * 3
+
+
+def test_fingerprints_and_their_radius():
+    rng, near = random.Random(4), []
+    for n in [12, 20, 40, 90, 300] * 60:
+        a = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        near.append([a, [f"v{rng.randrange(3000)}", *a[1:]]])
+    rows = [w for p in near for w in p]
+    keys, count, prints = residue._table_keys(rows, residue._Memo())
+    h, size = residue._shingle_hashes(rows, residue._Memo())
+    assert count.sum() == len(keys) and (count > residue._BLOCKS).all() and (residue._prints(h, size) == prints).all()
+    sets = [_shingle_set(r) for r in rows]
+    apart = [int(np.bitwise_count(prints[i] ^ prints[i + 1])) for i in range(0, len(rows), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    assert len(apart) > 200 and max(apart) <= residue.RADIUS
 
 
 def test_equal_masked_segments_keep_the_highest_label(spark):
