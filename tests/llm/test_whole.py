@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from theoremlake.llm import knn, leak, queries, residue
+from theoremlake.llm import knn, leak, neardup, pairs, queries, residue
 
 
 def _shingle_set(words):
@@ -170,3 +170,58 @@ def test_report_counts_near_leaks(spark, tmp_path):
     spark.createDataFrame([(5, "train", moved), (6, "test", moved)], "decl_id long, split string, nl_description string").write.parquet(f"{tmp_path}/declarations.parquet")
     got = {(r.query_id, r.corpus): (r.records, r.word_for_word) for r in queries.p1_report(spark, str(tmp_path)).collect()}
     assert got[1, "documents"] == (2, 1) and got[2, "declarations"] == (1, 0)
+
+
+def _variants(rng, n, size=40, edits=2):
+    base = rng.integers(1, 2**62, size)
+    out = []
+    for _ in range(n):
+        w = base.copy()
+        w[rng.integers(size, size=edits)] = rng.integers(1, 2**62, edits)
+        out.append(np.unique(w.astype(np.uint64)))
+    return out
+
+
+def test_variants_of_one_template_take_little_room():
+    """Candidates of a run of near-equal rows leave in parts, the same as one by one."""
+    sets = _variants(np.random.default_rng(1), 3000)
+    flat, offsets = np.concatenate(sets), np.r_[0, np.cumsum([len(x) for x in sets])]
+    k = neardup.Tensor().keys(flat, offsets)
+    same = np.zeros(3000, np.int64)
+    c = {"key": same, "bi": same, "bj": same, "mine": same, "id": np.arange(3000), "n": np.diff(offsets), "bits": pairs.bitmaps(flat, offsets), "sub": k.sub}
+    parts = list(pairs._pairs_in_runs(c, 0.7, False))
+    assert max(len(x) for x, _ in parts) <= pairs._CHUNK
+    got = {(min(a, b), max(a, b)) for x, y in parts for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    group = (k.sub.astype(np.uint64) + (np.arange(8, dtype=np.uint64) << np.uint64(32))).ravel()
+    o = np.argsort(group, kind="stable")
+    slow = pairs._by_groups(c, group[o], np.repeat(np.arange(3000), 8)[o], 0.7, False)
+    assert got == {(min(a, b), max(a, b)) for x, y in slow for a, b in zip(x.tolist(), y.tolist(), strict=True)} and len(got) > 1_000_000
+
+
+def test_classes_and_their_links(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, "Lemma a : " + " ".join(f"w{x}" for x in w)) for i, w in enumerate([*_variants(rng, 40), *_variants(rng, 30)])]
+    rows += [(100 + i, rows[3][1]) for i in range(9)] + [(-7, rows[50][1]), (200, "Lemma b : alone"), (201, None)]
+    df = spark.createDataFrame(rows, "decl_id long, statement string").selectExpr("*", "cast(null as string) type_signature")
+    members, links = neardup.near_duplicates(df, 0.7)
+    found = {(r.left_id, r.right_id) for r in neardup.pairs_of_rows(members, links).collect()}
+    count, group = {}, {}
+    for a, b in found:
+        for x in (a, b):
+            count[x] = count.get(x, 0) + 1
+        x, y = group.setdefault(a, {a}), group.setdefault(b, {b})
+        if x is not y:
+            x |= y
+            group.update(dict.fromkeys(y, x))
+    got = {r.id: (r.class_id, r.links) for r in neardup.duplicate_classes(members, links).collect()}
+    assert got == {i: (min(group.get(i, {i})), count.get(i, 0)) for i, s in rows if s} and len(found) > 800
+    assert neardup.duplicate_classes(*neardup.near_duplicates(df.limit(0))).count() == 0
+    few = pairs.with_representative(members, members.groupBy("rep").count().withColumnRenamed("count", "n").withColumn("k", members.rep), ["rep"], hot_copies=5)
+    assert few.count() == members.count()
+
+
+def test_copies_are_paired_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "_PART", 3)
+    members = spark.createDataFrame([(i, 0) for i in range(20)] + [(50, 50), (51, 50), (60, 60)], "id long, rep long")
+    got = sorted(tuple(r) for r in neardup.pairs_of_rows(members, spark.createDataFrame([], "l long, r long, likeness double")).collect())
+    assert got == sorted([(a, b) for a in range(20) for b in range(a + 1, 20)] + [(50, 51)])

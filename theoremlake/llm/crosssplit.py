@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from theoremlake.llm.content import Hasher, WORD, bound_variables, content_of, split_kind
 from theoremlake.llm.neardup import list_array
-from theoremlake.llm.pairs import HOT_ROWS, Keys, candidate_pairs, likeness, mix, sets_of
+from theoremlake.llm.pairs import HOT_ROWS, Keys, candidate_pairs, likeness, mix, sets_of, with_representative
 from theoremlake.plans.scratch import written
 
 #: Counters that order the grams; any order gives the same result, one close to the true counts the fewest candidates.
@@ -84,8 +84,8 @@ def cross_split_overlaps(df: DataFrame, threshold: float = 0.8, gram: int = 5, i
     kind = split_kind(F.col(split_col))
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(statement_col).alias("statement"), F.col(type_col).alias("type_signature"), F.when(kind == "train", 0).when(kind.isNotNull(), 1).alias("side")).where("side is not null")
     sets = written(src.mapInArrow(_featurize(gram), "id long, side int, sig binary, words array<long>"), "p3-sets")
-    reps = sets.groupBy("side", "sig").agg(F.min("id").alias("rep"))
-    members = sets.select("id", "side", "sig").join(reps, ["side", "sig"]).select("id", "side", "rep")
+    reps = written(sets.groupBy("side", "sig").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "p3-reps")
+    members = with_representative(sets.select("id", "side", "sig"), reps, ["side", "sig"]).select("id", "side", "rep")
     unique = written(sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "side", "words"), "p3-unique")
     count = np.zeros(ORDER_SLOTS, np.int64)
     for r in unique.select("words").mapInArrow(_slot_counts, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():

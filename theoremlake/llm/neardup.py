@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from theoremlake.llm.content import Hasher, content_of, word_set
-from theoremlake.llm.pairs import HOT_ROWS, Keys, candidate_pairs, likeness, mix
+from theoremlake.llm.pairs import HOT_ROWS, Keys, candidate_pairs, likeness, mix, with_representative
 from theoremlake.plans.scratch import written
 
 
@@ -82,19 +83,47 @@ def near_duplicates(df: DataFrame, threshold: float = 0.8, id_col: str = "decl_i
     Rows without content, without a word in it or without an id are left out; an empty table gives empty results.
     Ids should be unique. Copies are one set from the start, so a text that a third of all rows has costs one row."""
     sets = written(word_sets(df, id_col, **columns), "p2-sets")
-    reps = sets.groupBy("sig").agg(F.min("id").alias("id"))
-    members = sets.select("id", "sig").join(reps.select("sig", F.col("id").alias("rep")), "sig").select("id", "rep")
-    unique = written(sets.join(reps.select("id"), "id", "left_semi").select("id", "words"), "p2-unique")
+    reps = written(sets.groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "p2-reps")
+    members = with_representative(sets.select("id", "sig"), reps, ["sig"]).select("id", "rep")
+    unique = written(sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "words"), "p2-unique")
     links = likeness(candidate_pairs(unique, tensor.keys, threshold, sub_width=tensor.b_keys, hot_rows=hot_rows), unique)
     return members, links.where(F.col("likeness") >= threshold).select("l", "r", "likeness")
 
 
+#: Makes 64-bit ids positive.
+_SHIFT = Decimal(1 << 63)
+
+
+def duplicate_classes(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, class_id, links): for each row the smallest id that copies and links connect it with, and how many rows are copies
+    of it or linked with it. One row for each of members, however large the classes."""
+    from theoremlake.llm.splits import spanning_forest
+
+    copies = members.groupBy("rep").agg(F.count("*").alias("n"))
+    ends = links.select(F.col("l").alias("rep"), F.col("r").alias("to")).unionByName(links.select(F.col("r").alias("rep"), F.col("l").alias("to")))
+    linked = ends.join(copies.withColumnRenamed("rep", "to"), "to").groupBy("rep").agg(F.sum("n").alias("more"))
+    # the forest's vertices are ordered as strings, so ids are padded
+    name = lambda c: F.lpad(F.col(c).cast("decimal(20,0)") + F.lit(_SHIFT), 20, "0")
+    labels, _ = spanning_forest(links.select(name("l").alias("u"), name("r").alias("v")))
+    back = (F.col("root").cast("decimal(20,0)") - F.lit(_SHIFT)).cast("long")
+    classes = copies.withColumn("vertex", name("rep")).join(labels, "vertex", "left").join(linked, "rep", "left")
+    classes = classes.select("rep", "n", F.coalesce(back, "rep").alias("class_id"), (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    return with_representative(members, classes, ["rep"]).select("id", "class_id", "links")
+
+
+#: Copies of one set are paired in parts of so many.
+_PART = 2_000
+
+
 def pairs_of_rows(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(left_id, right_id): every pair of rows that have one set of words or linked sets, the smaller id first."""
+    """(left_id, right_id): every pair of rows that have one set of words or linked sets, the smaller id first. Copies are
+    paired part by part, so no task pairs all copies of one set."""
     m = members
     a, b = m.toDF("a", "l"), m.toDF("b", "r")
-    shared = m.groupBy("rep").count().where("count > 1").select("rep")
-    copies = m.join(shared, "rep", "left_semi").select("id", "rep")
-    within = copies.toDF("a", "rep").join(copies.toDF("b", "rep"), "rep").where("a < b").select("a", "b")
+    shared = m.groupBy("rep").count().where("count > 1").select("rep", F.ceil(F.col("count") / _PART).alias("parts"))
+    copies = m.join(shared, "rep").select("id", "rep", "parts")
+    left = copies.select(F.col("id").alias("a"), "rep", F.pmod(F.xxhash64("id"), "parts").alias("part"))
+    right = copies.select(F.col("id").alias("b"), "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    within = left.join(right, ["rep", "part"]).where("a < b").select("a", "b")
     across = links.select("l", "r").join(a, "l").join(b, "r").select("a", "b")
     return within.unionByName(across).select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"))

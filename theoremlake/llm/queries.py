@@ -52,6 +52,14 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs_of_rows(*near_duplicates(_read(spark, d, "declarations"), 0.7))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """For each declaration with a content its class of near-duplicates and the number of rows it is linked with."""
+    from theoremlake.llm.neardup import duplicate_classes, near_duplicates
+
+    members, links = near_duplicates(_read(spark, d, "declarations"), 0.7)
+    return duplicate_classes(members, written(links, "p2-links")).withColumnRenamed("id", "decl_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of a training and an evaluation declaration with a likeness of 0.7 or more."""
     from theoremlake.llm.crosssplit import cross_split_overlaps, overlapping_rows
@@ -120,7 +128,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_report, p4_found, p4_splits, p5_found, p6_ids, p7_containers, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_classes, p3_found, p3_report, p4_found, p4_splits, p5_found, p6_ids, p7_containers, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
