@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from theoremlake.llm import knn, leak, neardup, pairs, queries, residue
 
@@ -225,3 +226,29 @@ def test_copies_are_paired_in_parts(spark, monkeypatch):
     members = spark.createDataFrame([(i, 0) for i in range(20)] + [(50, 50), (51, 50), (60, 60)], "id long, rep long")
     got = sorted(tuple(r) for r in neardup.pairs_of_rows(members, spark.createDataFrame([], "l long, r long, likeness double")).collect())
     assert got == sorted([(a, b) for a in range(20) for b in range(a + 1, 20)] + [(50, 51)])
+
+
+def test_leaves_stay_small_and_recall_alike(spark):
+    """A forest whose lower levels are fitted by the tasks finds what one finds that the driver fits."""
+    rng = np.random.default_rng(8)
+    x = (rng.standard_normal((600, 1, 16)) + 0.25 * rng.standard_normal((600, 10, 16))).reshape(-1, 16).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "point_id long, dense array<float>")
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :5]
+    recall = {}
+    for sample in (8192, 512):  # all levels at once, and in steps of four
+        forest = knn.Forest(leaf=60, sample=sample, min_sample=32, shallow=3)
+        depth, upper = forest.levels(len(x), min(sample, len(x)))
+        assert depth == 7 and upper == (7 if sample == 8192 else 4)
+        got = {}
+        for r in knn.most_similar(df, 5, 16, forest=forest).collect():
+            got.setdefault(r.id, set()).add(r.near)
+        recall[sample] = np.mean([len(got[i] & set(best[i].tolist())) / 5 for i in range(len(x))])
+    unique = df.select(F.col("point_id").alias("id"), F.col("dense").alias("v")).mapInArrow(knn._usable(16), "id long, key binary, q binary")
+    trees = knn._fitted(unique, len(x), 16, forest)
+    home, own = trees.visit((u * 32767).round().astype(np.float32) / 32767, 3)
+    assert trees.depth == 7 and own.all() and np.bincount(home.ravel()).max() < 4 * 60
+    print(recall)
+    assert recall[512] >= 0.95 and recall[512] > recall[8192] - 0.03

@@ -1,7 +1,8 @@
 """The most similar vectors of every vector (problem 5).
 
 A forest of random-projection trees is fitted on a bounded sample and sent to every task; every vector is indexed by
-it. Each vector visits the `visits` leaves that come first in one priority queue shared by all trees, its own leaf of
+it. Where the sample is too small for as many leaves as there must be, the tasks fit the lower levels, each leaf of the
+upper ones on a bounded sample of its own, so leaves stay of one size however many vectors there are. Each vector visits the `visits` leaves that come first in one priority queue shared by all trees, its own leaf of
 each tree among them. Leaves are then searched whole, and what they give is merged per vector. Vectors travel as
 16-bit fixed-point numbers; wherever the rounding could change who is among the k, exact cosines of the
 stored vectors decide.
@@ -33,7 +34,8 @@ _SPARE = 3
 class Forest:
     """trees and visits: leaves a vector is indexed in, and searched for in, the latter in trees of up to `shallow` levels;
     each further level takes `more` visits more, so that recall stays alike. leaf: vectors in a leaf that is aimed at.
-    sample: vectors the trees are fitted on; a leaf holds at least min_sample of them, which bounds the depth."""
+    sample: vectors the upper levels are fitted on; at each fit a leaf holds at least min_sample of them. most: levels at
+    most; with 18 the forest of 64 dimensions takes 201 MB, for a billion vectors, and more than that make larger leaves."""
 
     trees: int = 3
     visits: int = 5
@@ -42,28 +44,52 @@ class Forest:
     leaf: int = 4000
     sample: int = 16_384
     min_sample: int = 32
+    most: int = 18
     seed: int = 7
 
+    def levels(self, total: int, sampled: int) -> tuple[int, int]:
+        """(levels of the trees, levels that the first sample can tell apart)."""
+        depth = min(self.most, max(0, math.ceil(math.log2(max(1, total / self.leaf)))))
+        return depth, min(depth, int(math.log2(max(1, sampled / self.min_sample))))
+
     def visits_at(self, depth: int) -> int:
         return self.visits + self.more * max(0, depth - self.shallow)
 
 
+def fit_planes(sample: np.ndarray, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and thresholds of the inner nodes of a complete binary tree, the root at 1."""
+    w, cut = np.zeros((1 << depth, sample.shape[1]), np.float32), np.zeros(1 << depth, np.float32)
+    todo = [(1, np.arange(len(sample)))]
+    while todo:
+        node, at = todo.pop()
+        if node >= 1 << depth:
+            continue
+        w[node], cut[node], p = split_plane(sample[at], rng)
+        todo += [(2 * node, at[p < cut[node]]), (2 * node + 1, at[p >= cut[node]])]
+    return w, cut
+
+
 class _Trees:
     """Complete binary trees of one depth: direction and threshold of each inner node, the root at 1."""
 
     def __init__(self, sample: np.ndarray, depth: int, f: Forest) -> None:
-        rng, dims = np.random.default_rng(f.seed), sample.shape[1]
+        rng = np.random.default_rng(f.seed)
         self.depth, self.trees = depth, f.trees
-        self.w = np.zeros((f.trees, 1 << depth, dims), np.float32)
-        self.cut = np.zeros((f.trees, 1 << depth), np.float32)
-        for t in range(f.trees):
-            todo = [(1, np.arange(len(sample)))]
-            while todo:
-                node, at = todo.pop()
-                if node >= 1 << depth:
-                    continue
-                self.w[t, node], self.cut[t, node], p = split_plane(sample[at], rng)
-                todo += [(2 * node, at[p < self.cut[t, node]]), (2 * node + 1, at[p >= self.cut[t, node]])]
+        self.w, self.cut = (np.stack(x) for x in zip(*(fit_planes(sample, depth, rng) for _ in range(f.trees)), strict=True))
+
+    def deepen(self, depth: int, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """Add the levels below: (leaf, directions, thresholds) as from fit_planes for each leaf. A leaf without a part, which
+        no sampled vector is in, keeps its vectors on one side."""
+        more = depth - self.depth
+        w = np.zeros((self.trees, 1 << depth, self.w.shape[2]), np.float32)
+        cut = np.full((self.trees, 1 << depth), -1, np.float32)
+        w[:, : 1 << self.depth], cut[:, : 1 << self.depth] = self.w, self.cut
+        for leaf, pw, pc in parts:
+            tree, root = leaf >> self.depth, (1 << self.depth) + (leaf & ((1 << self.depth) - 1))
+            for level in range(more):
+                at = slice(root << level, (root + 1) << level)
+                w[tree, at], cut[tree, at] = pw[1 << level : 2 << level], pc[1 << level : 2 << level]
+        self.w, self.cut, self.depth = w, cut, depth
 
     def visit(self, x: np.ndarray, visits: int) -> tuple[np.ndarray, np.ndarray]:
         """(leaf, own) for each vector and visit. The queue orders leaves by the least margin by which the vector missed
@@ -154,7 +180,7 @@ def _best(s: np.ndarray, k: int, width: int = 16) -> np.ndarray:
     return np.take_along_axis(at, np.argpartition(v, v.shape[1] - k, axis=1)[:, v.shape[1] - k :], 1)
 
 
-def _search(k: int, dims: int, f: Forest, rows: int = 512):
+def _search(k: int, dims: int, rows: int = 512):
     """applyInArrow function of a leaf: for each visitor the k best members, a few more, and all whose rounded cosine
     leaves in doubt whether they are among the k, as packed ids and scores."""
     doubt = _doubt(dims)
@@ -183,25 +209,13 @@ def _search(k: int, dims: int, f: Forest, rows: int = 512):
                     out.append((v[r : r + 1], y_ids[c][None], s[r, c][None]))
             out.append((v[~full], y_ids[at[~full].clip(max=len(member) - 1)], best[~full]))
 
-    def solve(member: np.ndarray, visitor: np.ndarray, x: np.ndarray, ids: np.ndarray, out: list, rng: np.random.Generator) -> None:
-        # a leaf far beyond its size (more vectors than a sample of this size can tell apart) is split where it is
-        if len(member) <= 4 * f.leaf:
-            return brute(member, visitor, x, ids, out)
-        w, _, p = split_plane(x[member], rng)
-        o = np.argsort(p, kind="stable")
-        half = len(o) // 2
-        cut, pv = p[o[half]], x[visitor] @ w
-        near = np.quantile(np.abs(pv - cut), 0.2)  # a fifth of the visitors searches both sides
-        for part, side in ((o[:half], pv < cut + near), (o[half:], pv >= cut - near)):
-            solve(member[part], visitor[side], x, ids, out, rng)
-
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         x = _vectors(t.column("q"), dims)
         ids, own, out = np.asarray(t.column("id")), np.asarray(t.column("own")), []
         member = np.flatnonzero(own)
         if len(member):
-            solve(member, np.arange(len(ids)), x, ids, out, np.random.default_rng(f.seed))
+            brute(member, np.arange(len(ids)), x, ids, out)
         return pa.table(
             {
                 "id": pa.array(np.concatenate([ids[v] for v, _, _ in out]) if out else [], pa.int64()),
@@ -269,6 +283,41 @@ def _exact_cosine():
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
 
 
+def _some(vectors: DataFrame, share: float) -> DataFrame:
+    """About the share of the rows that it is, the same ones at each call."""
+    return vectors if share >= 1 else vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+
+
+def _fit_part(depth: int, dims: int, seed: int):
+    """applyInArrow function of the sampled vectors of a leaf: its planes of `depth` more levels."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        leaf = t.column("leaf")[0].as_py()
+        o = np.argsort(np.asarray(t.column("id")), kind="stable")
+        w, cut = fit_planes(_vectors(t.column("q"), dims)[o], depth, np.random.default_rng([seed, leaf]))
+        return pa.table({"leaf": pa.array([leaf], pa.int32()), "w": pa.array([w.tobytes()], pa.binary()), "cut": pa.array([cut.tobytes()], pa.binary())})
+
+    return run
+
+
+def _fitted(unique: DataFrame, total: int, dims: int, forest: Forest) -> _Trees:
+    """The forest for the stored vectors unique (id, q). The driver gets forest.sample of them, and the planes."""
+    first = _some(unique.select("id", "q"), forest.sample / max(1, total)).toPandas().sort_values("id")
+    x = np.frombuffer(b"".join(first["q"]), np.int16).reshape(-1, dims) * _STEP
+    depth, upper = forest.levels(total, len(x))
+    trees = _Trees(x, upper, forest)
+    while trees.depth < depth:
+        more = min(depth - trees.depth, int(math.log2(max(2, forest.sample / forest.min_sample))))
+        sent = unique.sparkSession.sparkContext.broadcast(trees)
+        some = _some(unique.select("id", "q"), forest.min_sample * (1 << (trees.depth + more)) / total)
+        homes = some.mapInArrow(_route(sent, forest.trees, dims), "leaf int, own boolean, id long, q binary").where("own")
+        parts = homes.groupBy("leaf").applyInArrow(_fit_part(more, dims, forest.seed), "leaf int, w binary, cut binary").toArrow()
+        planes = zip(*(parts.column(c).to_pylist() for c in ("leaf", "w", "cut")), strict=True)
+        trees.deepen(trees.depth + more, [(n, np.frombuffer(w, np.float32).reshape(-1, dims), np.frombuffer(c, np.float32)) for n, w, c in planes])
+    return trees
+
+
 def most_similar(df: DataFrame, k: int = 5, dims: int = 64, id_col: str = "point_id", vector_col: str = "dense", forest: Forest = Forest()) -> DataFrame:
     """(id, near, place): the k vectors of the highest cosine found for each usable vector, place 1 to k.
 
@@ -280,12 +329,10 @@ def most_similar(df: DataFrame, k: int = 5, dims: int = 64, id_col: str = "point
     usable = src.mapInArrow(_usable(dims), "id long, key binary, q binary")
     unique = written(usable.groupBy("key").agg(F.min("id").alias("id"), F.first("q").alias("q"), F.count("*").alias("n")), "p5-unique")
     total = unique.count()
-    sample = unique.select("id", "q").orderBy(F.xxhash64("id"), "id").limit(forest.sample).collect()
-    x = np.frombuffer(b"".join(r.q for r in sample), np.int16).reshape(-1, dims) * _STEP
-    depth = max(0, min(math.ceil(math.log2(max(1, total / forest.leaf))), int(math.log2(max(1, len(x) / forest.min_sample)))))
-    trees = spark.sparkContext.broadcast(_Trees(x, depth, forest))
+    forest_ = _fitted(unique, total, dims, forest)
+    depth, trees = forest_.depth, spark.sparkContext.broadcast(forest_)
     routed = unique.select("id", "q").mapInArrow(_route(trees, forest.visits_at(depth), dims), "leaf int, own boolean, id long, q binary")
-    found = routed.groupBy("leaf").applyInArrow(_search(k, dims, forest), "id long, near binary, score binary")
+    found = routed.groupBy("leaf").applyInArrow(_search(k, dims), "id long, near binary, score binary")
     merged = written(found.repartition("id").sortWithinPartitions("id").mapInArrow(_merge(k, dims), "id long, near long, score double, slots int"), "p5-merged")
     open_ = merged.where("slots > 0").select("id", "near", "slots")
     if open_.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
