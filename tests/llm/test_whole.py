@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from theoremlake.llm import knn, leak, neardup, pairs, queries, residue
+from theoremlake.llm import knn, leak, neardup, packing, pairs, queries, residue
 
 
 def _shingle_set(words):
@@ -252,3 +252,53 @@ def test_leaves_stay_small_and_recall_alike(spark):
     assert trees.depth == 7 and own.all() and np.bincount(home.ravel()).max() < 4 * 60
     print(recall)
     assert recall[512] >= 0.95 and recall[512] > recall[8192] - 0.03
+
+
+def _fewest(items, capacity):
+    """The fewest containers, by trying all."""
+    items, best = tuple(sorted(items, reverse=True)), [len(items)]
+
+    def go(i, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(rooms)
+            return
+        for n in {r: n for n, r in enumerate(rooms) if r >= items[i]}.values():
+            go(i + 1, rooms[:n] + (rooms[n] - items[i],) + rooms[n + 1 :])
+        go(i + 1, (*rooms, capacity - items[i]))
+
+    go(0, ())
+    return best[0]
+
+
+def test_reduction_loses_no_container():
+    rng, kinds = random.Random(3), set()
+    for _ in range(400):
+        capacity = rng.choice([10, 12, 20])
+        items = [rng.randint(1, capacity) if rng.random() < 0.5 else rng.randint(capacity // 4, capacity // 2) for _ in range(rng.randint(2, 8))]
+        fixed, left = packing.reduce_by_dominance({s: items.count(s) for s in items}, capacity)
+        kinds |= {sum(k for _, k in p) for p, _ in fixed}
+        assert sum(m for _, m in fixed) + (_fewest([s for s, n in left.items() for _ in range(n)], capacity) if left else 0) == _fewest(items, capacity)
+    assert kinds == {1, 2, 3}
+
+
+def test_many_items_of_few_sizes():
+    for counts in ({1500: 50_000_000, 500: 50_000_000}, {700: 10**8, 650: 10**8, 680: 3}, {s: 10**6 - s for s in range(1, 2049)}):
+        packed = packing.pack_histogram(counts, 2048)
+        given = {}
+        for p, m in packed:
+            for s, k in p:
+                given[s] = given.get(s, 0) + m * k
+        assert given == counts and sum(m for _, m in packed) <= sum(m for _, m in packing.best_fit_decreasing(counts, 2048)) and len(packed) < 10_000
+
+
+def test_containers_by_slices(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([3, 3, rng.randint(0, 30)])) for i in range(500)] + [(7, 3), (None, 5), (901, 25)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long")
+    fill = {}
+    for r in packing.pack(df, 10, slice_rows=20).where("container_id is not null").collect():
+        fill[r.container_id] = fill.get(r.container_id, 0) + r.piece_size
+    whole = packing.pack(df, 10).agg(F.max("container_id")).first()[0]
+    assert sum(fill.values()) == sum(n for _, n in rows) and max(fill.values()) <= 10 and set(fill) == set(range(whole + 1))

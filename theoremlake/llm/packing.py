@@ -2,14 +2,15 @@
 
 Sizes are whole numbers up to the capacity, so the instance is a histogram of at most `capacity` numbers however many
 documents there are. The driver solves the histogram: dominance reduction after Martello and Toth fixes sets of up to
-three items that no packing can better, best fit in decreasing order packs the rest. Containers of one make-up are
-handled as a group with a multiplicity. The cluster then ranks the items of each size and looks their container up.
+three items that dominate all other sets with their largest item, best fit in decreasing order packs the rest. Containers
+of one make-up are handled as a group with a multiplicity, so the steps depend on the number of sizes only. The cluster
+then ranks the items of each size and looks their container up.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from pyspark.sql.window import Window
 
 from theoremlake.plans.scratch import written
 
-#: Ranks within one size are made in so many slices, so that a size that a third of the items has is no single task's.
-SLICES = 64
+#: Ranks within one size are made in slices of about so many items, so that a size that a third of the items has is no
+#: single task's.
+SLICE_ROWS = 1_000_000
 
 Pattern = tuple[tuple[int, int], ...]
 
@@ -52,44 +54,54 @@ class _Sizes:
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[Pattern, int]], dict[int, int]]:
     """Groups of containers that may be fixed without loss, and the counts of the items left.
 
-    For the items j of each size, from the largest down: {j} is fixed if nothing fits beside j; {j, k} if k fills the
-    container exactly, or if k is the largest that fits and either no two items fit beside j, or all pairs that fit
-    are together no larger than k and no three fit (k dominates them: wherever k was, the pair can go)."""
+    A set with item j dominates another if the other's items beside j can be dealt to its own, those dealt to one being
+    together no larger than it; then they can change places. For the items of each size j, from the largest, a set that
+    dominates all that fit is fixed, as often as its items last: other items' going only takes alternatives away."""
     left, fixed = _Sizes(counts), []
     for j in sorted(left.count, reverse=True):
-        while (n := left.count.get(j, 0)) > 0:
-            left.take(j, 1)  # j itself doesn't stand beside itself
-            room, low = capacity - j, left.smallest(3)
-            k = left.largest(room)
-            have = left.count.get(k, 0) if k else 0
-            pair_sum = None
-            if k and k != room and len(low) > 1 and low[0] + low[1] <= room:
-                pair_sum = _best_pair(left, room) if len(low) < 3 or sum(low) > room else room + 1
-            left.count[j] = n
-            if len(left.sorted) != len(left.count):
-                bisect.insort(left.sorted, j)
-            if k is None:
-                fixed.append((((j, 1),), n))
-                left.take(j, n)
-                continue
-            if k != room and pair_sum is not None and pair_sum > k:
-                break  # nothing dominates for this size; the next is smaller
-            # counts change which pairs fit, so beyond an exact fill only one container is fixed at a time
-            m = (n // 2 if k == j else min(n, have)) if k == room else 1
-            fixed.append((((j, 2),) if k == j else ((j, 1), (k, 1)), m))
-            for s, c in ((j, 2 * m),) if k == j else ((j, m), (k, m)):
-                left.take(s, c)
+        while left.count.get(j, 0) > 0:
+            beside = _Sizes(left.count)
+            beside.take(j, 1)
+            chosen = _dominating(beside, capacity - j)
+            if chosen is None:
+                break
+            make_up = Counter((j, *chosen))
+            m = min(left.count[s] // n for s, n in make_up.items())
+            fixed.append((tuple(sorted(make_up.items(), reverse=True)), m))
+            for s, n in make_up.items():
+                left.take(s, n * m)
     return fixed, dict(left.count)
 
 
-def _best_pair(left: _Sizes, room: int) -> int:
-    """The largest sum of two items that is at most room."""
-    a, b, best = 0, len(left.sorted) - 1, 0
+def _dominating(beside: _Sizes, room: int) -> tuple[int, ...] | None:
+    """Up to two of the items beside that dominate all sets that fit into room; None if no such choice is known.
+
+    The largest item k that fits dominates sets that are together no larger than it, so all if it fills the room or is
+    alone; with b, the largest that fits beside k, it dominates the pairs of which one is no larger than b."""
+    k, low = beside.largest(room), beside.smallest(3)
+    if k is None:
+        return ()
+    if k == room or len(low) < 2 or low[0] + low[1] > room or (len(low) < 3 or sum(low) > room) and _best_pair(beside, room) <= k:
+        return (k,)
+    if len(low) == 3 and sum(low) <= room:
+        return None
+    beside.take(k, 1)
+    b = beside.largest(room - k)
+    beside.count[k] = beside.count.get(k, 0) + 1
+    if b is None or _best_pair(beside, room, b) > k:
+        return None
+    return (k, b)
+
+
+def _best_pair(left: _Sizes, room: int, above: int = 0) -> int:
+    """The largest sum of two items, both larger than above, that is at most room; 0 if there is none."""
+    sizes = left.sorted if len(left.sorted) == len(left.count) else sorted(left.count)
+    a, b, best = bisect.bisect_right(sizes, above), len(sizes) - 1, 0
     while a <= b:
-        x = left.sorted[a] + left.sorted[b]
+        x = sizes[a] + sizes[b]
         if x > room:
             b -= 1
-        elif a == b and left.count[left.sorted[a]] < 2:
+        elif a == b and left.count[sizes[a]] < 2:
             break
         else:
             best, a = max(best, x), a + 1
@@ -149,48 +161,40 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[Pattern,
     return sorted(merged.items(), reverse=True)
 
 
-def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", slices: int = SLICES) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, id_col: str = "doc_id", size_col: str = "n_tokens", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Rows (id_col, piece, piece_start, piece_size, container_id): every item of sizes in a container.
 
     An item larger than capacity is cut into full containers and a rest (piece numbers its parts, piece_start is
     where a part begins); no other is cut. Items of size 0 or null need no room and get container_id null. Rows that
     occur twice are two items. Containers are numbered from 0 without gaps. An empty table gives no rows. Other columns
-    are dropped. sizes is read twice, so it should be a stored table; the result for the same rows is the same."""
+    are dropped. sizes is read three times, so it should be a stored table; the result for the same rows is the same."""
     spark = sizes.sparkSession
     n = F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     items = sizes.select(F.col(id_col).alias("id"), F.greatest(n, F.lit(0).cast("long")).alias("n")).select(
         "id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("n") / capacity) - 1, F.lit(0).cast("long")))).alias("piece")
     )
-    items = items.select(
-        "id",
-        "piece",
-        (F.col("piece") * capacity).alias("piece_start"),
-        F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity).cast("long")).alias("piece_size"),
-        F.pmod(F.xxhash64("id", "piece"), F.lit(slices)).cast("int").alias("slice"),
-    )
-    # at most capacity * slices rows, whatever the number of items
-    found = items.where("piece_size > 0").groupBy("piece_size", "slice").count().collect()
-    counts: dict[int, int] = defaultdict(int)
-    offsets = []
-    for r in sorted(found, key=lambda r: (r.piece_size, r.slice)):
-        offsets.append((r.piece_size, r.slice, counts[r.piece_size]))
-        counts[r.piece_size] += r["count"]
+    items = items.select("id", "piece", (F.col("piece") * capacity).alias("piece_start"), F.least(F.col("n") - F.col("piece") * capacity, F.lit(capacity).cast("long")).alias("piece_size"))
+    # at most capacity rows, whatever the number of items
+    counts = {r.piece_size: r["count"] for r in items.where("piece_size > 0").groupBy("piece_size").count().collect()}
+    # an element for each size up to the capacity
+    slices = F.array(*(F.lit(-(-counts.get(s, 1) // slice_rows)) for s in range(capacity + 1))) if any(c > slice_rows for c in counts.values()) else None
+    number = F.lit(0) if slices is None else F.pmod(F.xxhash64("id", "piece"), F.get(slices, F.col("piece_size").cast("int")).cast("long")).cast("int")
+    items = items.withColumn("slice", number)
     ranges, base, given = [], 0, defaultdict(int)
     for pattern, m in pack_histogram(counts, capacity):
         for s, k in pattern:
             ranges.append((s, given[s], given[s] + m * k, base, k))
             given[s] += m * k
         base += m
-    offset_df = spark.createDataFrame(offsets, "piece_size long, slice int, first_rank long")
     range_df = spark.createDataFrame(ranges, "piece_size long, from_rank long, to_rank long, first_container long, each long")
     w = Window.partitionBy("piece_size", "slice").orderBy("id", "piece")
-    ranked = (
-        items.where("piece_size > 0")
-        .withColumn("in_slice", F.row_number().over(w) - 1)
-        .join(F.broadcast(offset_df), ["piece_size", "slice"])
-        .withColumn("rank", F.col("first_rank") + F.col("in_slice"))
-    )
-    # both broadcast tables are bounded by the capacity: sizes times slices, and make-ups times sizes
+    ranked = items.where("piece_size > 0").withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
+    if slices is not None:
+        # at most capacity + (all items) / slice_rows rows of 20 bytes
+        found = items.where("piece_size > 0").groupBy("piece_size", "slice").count()
+        offsets = found.withColumn("first_rank", F.sum("count").over(Window.partitionBy("piece_size").orderBy("slice")) - F.col("count")).drop("count")
+        ranked = ranked.join(F.broadcast(offsets), ["piece_size", "slice"]).withColumn("rank", F.col("rank") + F.col("first_rank"))
+    # bounded by the capacity: there are about two make-ups for each size, of a few sizes each; 40 bytes a row
     placed = ranked.join(F.broadcast(range_df), "piece_size").where("rank >= from_rank and rank < to_rank").select("id", "piece", "piece_start", "piece_size", (F.col("first_container") + F.floor((F.col("rank") - F.col("from_rank")) / F.col("each"))).cast("long").alias("container_id"))
     empty = items.where("piece_size = 0").select("id", "piece", "piece_start", "piece_size", F.lit(None).cast("long").alias("container_id"))
     return placed.unionByName(empty).withColumnRenamed("id", id_col)
