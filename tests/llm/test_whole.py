@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from theoremlake.llm import knn, leak, neardup, packing, pairs, queries, residue
+from theoremlake.llm import knn, leak, neardup, packing, pairs, queries, residue, splits
 
 
 def _shingle_set(words):
@@ -302,3 +302,32 @@ def test_containers_by_slices(spark):
         fill[r.container_id] = fill.get(r.container_id, 0) + r.piece_size
     whole = packing.pack(df, 10).agg(F.max("container_id")).first()[0]
     assert sum(fill.values()) == sum(n for _, n in rows) and max(fill.values()) <= 10 and set(fill) == set(range(whole + 1))
+
+
+def test_groups_are_the_same_by_all_ways(spark, monkeypatch):
+    """Hot entities and contents by broadcast, and relation words by a join, give the groups that the plain way gives."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["A.velo_sym", "isVelo", "sym_zij", "is_sym", None, f"e{i % 25}_x"]), rng.choice([f"Lemma n{i} : c {i % 30}.", None, "Lemma a : b c d"]), None) for i in range(300)]
+    df = spark.createDataFrame([*rows, (None, None, None, None), (1, *rows[1][1:])], "decl_id long, name string, statement string, type_signature string")
+    words = spark.createDataFrame([("SYM ",), ("is",), ("sym",), (None,)], "word string")
+    key = lambda g: sorted(tuple(r) for r in g.select("id", "group_id", "group_key").collect() if r.id is not None)
+    plain, forest = splits.relations(df, words)
+    hot = splits.relations(df, words, hot_copies=3)[0]
+    monkeypatch.setattr(splits, "SENT_RELATION_WORDS", 1)
+    joined = splits.relations(df, words)[0]
+    assert key(plain) == key(hot) == key(joined) and len(key(plain)) == 301
+    edges = [tuple(r) for r in forest.collect()]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        assert find(u) != find(v)  # no circle
+        parent[find(u)] = find(v)
+    of = {r.group_key for r in plain.collect() if r.group_key}
+    assert edges and all(min(x for x in parent if find(x) == find(u)) in of for u, _ in edges)
+    grouped = [sorted(map(str, splits.grouped_rows(plain, n).collect())) for n in (1_000_000, 3)]
+    assert grouped[0] == grouped[1] and len(grouped[0]) > 200
