@@ -132,4 +132,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from theoremlake.llm.oracle import oracle_sql as sql
+
+    return sql()
