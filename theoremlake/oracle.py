@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from theoremlake.functions.text import NAME_STOP_WORDS, QUERY_STOP_WORDS, RELATION_WORDS
-from theoremlake.operators.mining import TACTICS
+from theoremlake.operators.mining import PROOF_KINDS, TACTICS
+from theoremlake.sources.parse import KINDS, MODIFIERS
 
 _SPACE = r"[\s\x0b\x1c-\x1f\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
@@ -106,7 +107,80 @@ per AS (SELECT query_id, n_gold, best_rank, coalesce(h5 / n_gold::DOUBLE, 0) AS
   coalesce(sp / least(n_gold, 10), 0) AS apk FROM (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY ALL) LEFT JOIN hq USING (query_id))"""
 
 
+_LIMITED = """WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE ts IS NOT NULL),
+r AS (
+  SELECT user_id, n, event_id, true AS accepted, [ts] AS recent FROM e WHERE n = 1
+  UNION ALL
+  SELECT user_id, n, event_id, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, ts) ELSE kept END
+  FROM (SELECT e.user_id, e.n, e.event_id, e.ts, list_filter(r.recent, lambda t: e.ts - t <= INTERVAL 24 HOURS) AS kept FROM r JOIN e ON e.user_id IS NOT DISTINCT FROM r.user_id AND e.n = r.n + 1))
+SELECT event_id, user_id, accepted FROM r"""
+
+
+def _parsed() -> str:
+    """CTEs of the parser: marks of comments and strings one after the other, all texts at once; then statements and their
+    declarations. Texts of unknown kind count if they hold a declaration."""
+    kinds = "|".join(sorted(KINDS, key=len, reverse=True))
+    head = rf"(?s)^\s*(?:(?:{'|'.join(MODIFIERS)})\s+)*({kinds})\s+([A-Za-z_][A-Za-z0-9_'']*)\b(.*)\.\s*$"
+    blank = lambda c: f"regexp_replace({c}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+    return rf"""WITH RECURSIVE src AS (SELECT doc_id, doc_kind, text, coalesce(library, 'unknown') AS library, 'docs/d' || doc_id || '.v' AS file_path, source AS source_path FROM documents WHERE (doc_kind = 'source' OR doc_kind IS NULL) AND text IS NOT NULL),
+pieces AS (SELECT doc_id, regexp_extract_all(text, '\(\*|\*\)|["\n.]|[^(*)"\n.]+|[(*)]') AS t FROM src),
+toks AS (SELECT doc_id, unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM pieces),
+marks AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS m FROM toks WHERE tok IN ('(*', '*)', '"')),
+state AS (
+  SELECT doc_id, 0::BIGINT AS m, 0::BIGINT AS i, 0 AS depth, false AS str FROM pieces
+  UNION ALL
+  SELECT k.doc_id, k.m, k.i, s.depth + CASE WHEN NOT s.str AND k.tok = '(*' THEN 1 WHEN NOT s.str AND k.tok = '*)' AND s.depth > 0 THEN -1 ELSE 0 END, CASE WHEN k.tok = '"' AND s.depth = 0 THEN NOT s.str ELSE s.str END
+  FROM state s JOIN marks k ON k.doc_id = s.doc_id AND k.m = s.m + 1),
+placed AS (
+  SELECT t.doc_id, t.i, t.tok, s.depth, s.str, s.i = t.i AS mark, 1 + coalesce(sum(CASE WHEN t.tok = chr(10) THEN 1 ELSE 0 END) OVER (PARTITION BY t.doc_id ORDER BY t.i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line
+  FROM toks t ASOF JOIN state s ON t.doc_id = s.doc_id AND t.i >= s.i),
+flagged AS (
+  SELECT *, tok = '(*' AND mark AND NOT str AS opens, tok = '(*' AND mark AND NOT str AND depth = 1 AS outer_open, tok = '*)' AND mark AND NOT str AND depth = 0 AND coalesce(lag(depth) OVER (PARTITION BY doc_id ORDER BY i), 0) = 1 AS outer_close, tok = '.' AND depth = 0 AND NOT str AS stop
+  FROM placed),
+numbered AS (
+  SELECT *, depth = 0 AND NOT outer_close AS is_code, coalesce(sum(stop::INT) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seq
+  FROM flagged),
+counted AS (
+  SELECT *, coalesce(sum((is_code AND regexp_matches(tok, '[^\s\x0b\x1c-\x1f\x{{0085}}\x{{00a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]'))::INT) OVER (PARTITION BY doc_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(outer_open::INT) OVER (PARTITION BY doc_id ORDER BY i) AS comment
+  FROM numbered),
+closed AS (SELECT DISTINCT doc_id, comment FROM counted WHERE outer_close),
+comments AS (
+  SELECT doc_id, comment, string_agg(tok, '' ORDER BY i) AS whole FROM counted SEMI JOIN closed USING (doc_id, comment)
+  WHERE depth > 0 OR outer_close GROUP BY doc_id, comment),
+last_doc AS (
+  SELECT doc_id, seq, arg_max(whole, comment) AS doc FROM (SELECT DISTINCT doc_id, seq, comment FROM counted WHERE outer_close) JOIN comments USING (doc_id, comment) WHERE whole LIKE '(**%' GROUP BY doc_id, seq),
+raw AS (
+  SELECT doc_id, seq, {blank("string_agg(tok, '' ORDER BY i) FILTER (is_code)")} AS code,
+         max(CASE WHEN opens AND before = 0 THEN line END) AS opened, max(CASE WHEN stop THEN line END) AS stop_line
+  FROM counted GROUP BY doc_id, seq HAVING bool_or(stop)),
+stmts AS (
+  SELECT doc_id, seq, code, coalesce(opened, lag(stop_line) OVER (PARTITION BY doc_id ORDER BY seq), 1)::BIGINT AS line,
+         regexp_extract(code, $re${head.replace("''", "'")}$re$, ['kind', 'name', 'rest']) AS m
+  FROM raw),
+typed AS (SELECT *, {_ws("regexp_replace(m.rest, '[.]$', '')")} AS tail FROM stmts),
+all_statements AS (
+  SELECT doc_id, seq, code, line, nullif(m.name, '') AS name, CASE WHEN m.name <> '' THEN m.kind END AS kind,
+         CASE WHEN m.name = '' THEN NULL WHEN tail[1] = ':' THEN trim(substr(tail, 2)) WHEN contains(tail, ':=') THEN CASE WHEN contains(split_part(tail, ':=', 1), ':') THEN trim(split_part(split_part(tail, ':=', 1), ':', -1)) ELSE '' END ELSE tail END AS type_signature
+  FROM typed),
+holds AS (SELECT doc_id, library, file_path, source_path FROM src WHERE doc_kind = 'source' OR doc_id IN (SELECT doc_id FROM all_statements WHERE name IS NOT NULL)),
+statements AS (SELECT library, file_path, source_path, doc_id, seq, code, line, name, kind, type_signature FROM all_statements JOIN holds USING (doc_id)),
+cut AS (SELECT doc_id, seq, CASE WHEN regexp_full_match(doc, '(?s)\(\*\*.*\*\)') AND length(doc) >= 5 THEN substr(doc, 4, length(doc) - 5) ELSE doc END AS doc FROM last_doc),
+docs AS (
+  SELECT doc_id, seq, array_to_string(list_filter(list_transform(list_transform(regexp_split_to_array(doc, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{0085}}\x{{2028}}\x{{2029}}]'), lambda l: {blank('l')}), lambda l: CASE WHEN l[1] = '*' THEN {blank('substr(l, 2)')} ELSE l END), lambda l: l <> ''), ' ') AS docstring
+  FROM cut)"""
+
+
+def _grouped() -> str:
+    """CTE of the statements of proofs, after those of _parsed()."""
+    return rf"""marked AS (SELECT *, sum((kind IS NOT NULL)::INT) OVER (PARTITION BY library, file_path ORDER BY seq) AS d FROM statements),
+owners AS (SELECT library, file_path, d, seq AS owner, name AS owner_name, kind AS owner_kind FROM marked WHERE kind IS NOT NULL AND kind IN {_list(list(PROOF_KINDS))}),
+closers AS (SELECT library, file_path, d, min(seq) AS closer FROM marked WHERE kind IS NULL AND regexp_matches(code, '(?i)^\s*(Qed|Defined|Admitted|Abort)\b') GROUP BY ALL),
+proofs AS (SELECT library, file_path, owner, owner_name, owner_kind, seq, code FROM marked JOIN owners USING (library, file_path, d) JOIN closers USING (library, file_path, d) WHERE kind IS NULL AND seq < closer)"""
+
+
 def oracle_sql() -> dict[str, str]:
+    parsed = _parsed()
     norm, neg = f"WITH {NORM}", f"WITH {NORM}, {_features()}, {_NEGATIVES}"
     dense10, dense40, dense50 = (f"{norm}, {_dense(k)}" for k in (10, 40, 50))
     train = f"{neg}, {_SIDES}, {_TRAIN}"
@@ -175,4 +249,13 @@ tok AS (SELECT DISTINCT decl_id, name, unnest(regexp_extract_all(statement, '[A-
 p AS (SELECT decl_id, list(t ORDER BY t) AS l FROM tok WHERE length(t) >= 3 AND t <> name AND t NOT IN {_list(TACTICS)} AND t IN (SELECT n FROM names WHERE n <> '') GROUP BY decl_id) SELECT decl_id, array_to_string(l, '|') AS premises FROM p WHERE len(l) BETWEEN 1 AND 15""",
         "strided_sample": """WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, o_totalprice FROM o WHERE n <= 1500 OR i IN (SELECT (k * (SELECT count(*) FROM orders)) // 1500 FROM range(1500) t(k))""",
         "rate_limit_window_count": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 24 HOURS PRECEDING AND CURRENT ROW) AS n_recent FROM events",
+        "rate_limit_stateful": _LIMITED,
+        "strip_nested_comments": f"{parsed} SELECT library, file_path, seq, code, name, kind, type_signature FROM statements",
+        "parse_declarations": f"""{parsed} SELECT name, kind, type_signature, {_ws('code')} AS statement, coalesce(docstring, '') AS docstring, replace(regexp_replace(file_path, '[.]v$', ''), '/', '.') AS module_path, library, file_path, source_path, line AS line_number, seq AS statement_no, '' AS github_url FROM statements LEFT JOIN docs USING (doc_id, seq) WHERE name IS NOT NULL""",
+        "proof_grouping": f"{parsed}, {_grouped()} SELECT * FROM proofs",
+        "mine_premises": f"""{parsed}, {_grouped()},
+            known AS (SELECT DISTINCT regexp_extract(coalesce(name, ''), '[^.]*$') AS n FROM declarations UNION SELECT DISTINCT name FROM statements WHERE name IS NOT NULL),
+            words AS (SELECT DISTINCT library, file_path, owner, owner_name, unnest(regexp_extract_all(code, '[A-Za-z_][A-Za-z0-9_'']*')) AS w FROM proofs),
+            found AS (SELECT library, file_path, owner, list_sort(list(DISTINCT w)) AS premises FROM words WHERE length(w) >= 3 AND w NOT IN {_list(list(TACTICS))} AND w <> owner_name AND w IN (SELECT n FROM known WHERE n <> '') GROUP BY ALL)
+            SELECT name, kind, library, file_path, type_signature, {_ws('code')} AS statement, premises FROM found JOIN statements s USING (library, file_path) WHERE s.seq = owner AND len(premises) BETWEEN 1 AND 15""",
     }
