@@ -115,13 +115,15 @@ def dense_topk(queries: DataFrame, points: DataFrame, k: int, *, vectors: Callab
 
 
 def array_vectors(dim: int) -> Callable[[pa.RecordBatch], np.ndarray]:
-    """Matrix of an array<float> column v; rows of another length or with nulls count as zero vectors."""
+    """Matrix of an array<float> column v; rows of another length, with nulls or NaN count as zero vectors."""
 
     def vectors(b: pa.RecordBatch) -> np.ndarray:
+        a = b.column("v")
+        rows = np.flatnonzero(np.asarray(a.value_lengths().fill_null(-1)) == dim)
+        x = np.asarray(a.take(pa.array(rows)).flatten().cast(pa.float64()).fill_null(float("nan"))).reshape(-1, dim)
+        whole = ~np.isnan(x).any(1)
         out = np.zeros((b.num_rows, dim))
-        for i, v in enumerate(b.column("v").to_pylist()):
-            if v is not None and len(v) == dim and None not in v:
-                out[i] = v
+        out[rows[whole]] = x[whole]
         return out
 
     return vectors
@@ -183,21 +185,28 @@ def sparse_topk(queries: DataFrame, points: DataFrame, weights: DataFrame, k: in
         tokens = tokens[tokens["token_id"].isin(known)]
         columns = {t: i for i, t in enumerate(sorted(known))}
         q_ids, row = np.unique(tokens["id"].to_numpy(), return_inverse=True)
-        matrix = np.zeros((len(q_ids), len(columns)))
-        for r, t, tf in zip(row, tokens["token_id"], tokens["tf"], strict=True):
-            matrix[r, columns[t]] = tf * known[t]
-        ids, sent = spark.sparkContext.broadcast(q_ids), spark.sparkContext.broadcast((columns, matrix))
+        # the queries of each token and what the token is worth there, token by token
+        column = np.array([columns[t] for t in tokens["token_id"]], np.int64)
+        worth = tokens["tf"].to_numpy() * np.array([known[t] for t in tokens["token_id"]])
+        o = np.argsort(column, kind="stable")
+        start = np.searchsorted(column[o], np.arange(len(columns) + 1))
+        ids, sent = spark.sparkContext.broadcast(q_ids), spark.sparkContext.broadcast((columns, start, row[o], worth[o]))
         memo: list[_TokenIds] = []
 
-        def scores(b: pa.RecordBatch, sent=sent, memo=memo) -> np.ndarray:
-            columns, matrix = sent.value
+        def scores(b: pa.RecordBatch, sent=sent, ids=ids, memo=memo) -> np.ndarray:
+            columns, start, row, worth = sent.value
             memo or memo.append(_TokenIds())
-            x, word = np.zeros((b.num_rows, len(columns))), re.compile(WORD)
+            word, point, met = re.compile(WORD), [], []
             for i, t in enumerate(b.column("text").to_pylist()):
                 at = [c for w in word.findall(t) for j in memo[0][w] if (c := columns.get(j)) is not None] if t else []
-                if at:
-                    np.add.at(x[i], at, 1.0)
-            s = np.round(matrix @ x.T, digits)
+                met += at
+                point += [i] * len(at)
+            # every token met with every query that has it
+            met, point = np.array(met, np.int64), np.array(point, np.int64)
+            n = start[met + 1] - start[met]
+            at = np.arange(n.sum()) + np.repeat(start[met] - np.cumsum(n) + n, n)
+            s = np.bincount(row[at] * b.num_rows + np.repeat(point, n), weights=worth[at], minlength=len(ids.value) * b.num_rows).reshape(-1, b.num_rows)
+            s = np.round(s, digits)
             s[s <= 0] = -np.inf
             return s
 

@@ -10,6 +10,8 @@ from theoremlake.functions.declarations import declaration_text, query_side
 from theoremlake.functions.text import cluster_key, concept_stem, hash_split_is_test, relation_signature, text
 
 LOOKALIKE = "characterization|postulate"
+#: Characters of a stem by which look-alike names are found.
+STEM_KEY = 5
 
 
 def features(df: DataFrame, seq: str) -> DataFrame:
@@ -55,6 +57,16 @@ def _names(f: DataFrame) -> DataFrame:
     )
 
 
+def _holding(stems: DataFrame, names: DataFrame) -> DataFrame:
+    """Stems (library, stem) with the names (library, name, ...) that hold them, without case: by an equi-join of the first
+    characters of a stem and all runs of so many characters in a name, in place of comparing all of a library."""
+    low, short = F.lower("name"), F.least(F.length("stem"), F.lit(STEM_KEY))
+    # for each length the runs that begin at each place
+    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i, n=n: F.substr(low, i, F.lit(n))) for n in range(1, STEM_KEY + 1)]
+    each = names.withColumn("key", F.explode(F.array_distinct(F.concat(*runs))))
+    return stems.withColumn("key", F.substr("stem", F.lit(1), short)).join(each, ["library", "key"]).where(F.contains(F.lower("name"), "stem")).drop("key")
+
+
 def hard_negatives(f: DataFrame, k: int = 5) -> DataFrame:
     """(seq, neg_seq, neg_name, class, place): up to k negatives of each declaration with a stem.
 
@@ -65,20 +77,22 @@ def hard_negatives(f: DataFrame, k: int = 5) -> DataFrame:
     No stem's rows meet each other. Candidates are first cut to those that can be among any anchor's k best: an anchor
     leaves out one name, one cluster and (for class 1) one relation, so of each list as many more are kept as these can
     take away, at most k + 1 of each cluster. That is some dozens for a stem, whatever its size, and loses nothing."""
-    names = _names(f)
+    from theoremlake.plans.scratch import written
+
+    names = written(_names(f), "names")  # this and the two lists below are read several times
     own = names.where("stem <> ''").withColumn("g", F.lit(0)).withColumn("is_look", F.col("lookalike") & F.contains(F.lower("name"), "stem"))
     stems = own.select("library", "stem").distinct()
-    look = stems.join(names.where("lookalike").withColumnRenamed("stem", "own_stem"), "library").where(F.contains(F.lower("name"), "stem"))
+    look = _holding(stems, names.where("lookalike").withColumnRenamed("stem", "own_stem"))
     look = look.withColumns({"g": F.when(F.col("own_stem") == F.col("stem"), 0).otherwise(1), "is_look": F.lit(True)}).drop("own_stem")
     all_ = own.where("not is_look").unionByName(look)
     group = F.when(F.col("is_look"), F.array(F.lit("0"))).otherwise(F.concat(F.array(F.lit("r")), "relation"))
     all_ = all_.withColumn("list", F.concat_ws(" ", group))
     key = ["library", "stem"]
-    base = _first_by(_first_by(all_, [*key, "list", "f1c"], ["g", "f1", "name"], k + 1), [*key, "list"], ["g", "f1", "name"], 2 * k + 2)
+    base = written(_first_by(_first_by(all_, [*key, "list", "f1c"], ["g", "f1", "name"], k + 1), [*key, "list"], ["g", "f1", "name"], 2 * k + 2), "base")
     related = base.where("not is_look and size(relation) > 0")
     other = _first_by(_first_by(related, [*key, "f1c"], ["f1", "name"], 3 * k + 3), key, ["f1", "name"], 6 * k + 6)
     # names whose first row is in the anchor's own cluster count from their first row in another
-    moved = _first_by(all_.where("f2 is not null"), [*key, "list", "f1c"], ["g", "f2", "name"], k + 1)
+    moved = written(_first_by(all_.where("f2 is not null"), [*key, "list", "f1c"], ["g", "f2", "name"], k + 1), "moved")
     moved_other = _first_by(moved.where("not is_look and size(relation) > 0"), [*key, "f1c"], ["f2", "name"], 2 * k + 2)
     any_relation = base.where("is_look or size(relation) = 0").unionByName(other)
     moved_any = moved.where("is_look or size(relation) = 0").unionByName(moved_other)
