@@ -287,3 +287,61 @@ def test_command_line(spark, tmp_path, capsys):
     assert [json.loads(r.value)["premises"] for r in spark.read.text(f"{tmp_path}/m").collect()] == [["aaa"]]
     run("finetune", "--input", f"{tmp_path}/f", "--out", f"{tmp_path}/t")
     assert spark.read.json(f"{tmp_path}/t").count() == 2
+
+
+def test_index_writes_what_a_batch_touches(spark, tmp_path):
+    i = index.Index(spark, f"{tmp_path}/ix", embedder=embed.HashEmbedder, buckets=8)
+    df = spark.createDataFrame([(f"n{k}", "Lemma", "t", f"Lemma n{k} : t.", None, ["std", "007"][k % 2], "A.v", k) for k in range(60)], DECL)
+    assert i.build(df) == 60
+    before = i._state()["files"]
+    assert len(before) == 8 and i.build(df) == 60 and i._state()["files"] == before  # nothing new, nothing written
+    one = df.limit(1).withColumn("docstring", F.lit("new"))
+    assert i.build(one, resume=False) == 60
+    after = i._state()["files"]
+    assert sum(after[b] != before[b] for b in before) == 1
+    i.vacuum()
+    rows = i.points().collect()
+    assert len(rows) == 60 and {r.library for r in rows} == {"std", "007"} and sum(r.docstring == "new" for r in rows) == 1 and all(len(r.dense) == 384 for r in rows)
+    s = Service(i.points(), rate_limit=0, embedder=embed.HashEmbedder())
+    plain = Service(i.points(), rate_limit=0)
+    assert [r["name"] for r in s.search("lemma n7", 5)["results"]] == [r["name"] for r in plain.search("lemma n7", 5)["results"]]
+    with pytest.raises(Rejected) as e:
+        Service(i.points().drop("dense"), rate_limit=0, embedder=embed.HashEmbedder()).search("n7")
+    assert e.value.status == 503
+
+
+def test_descriptions_are_kept_chunk_by_chunk(spark, tmp_path):
+    from theoremlake.sources import files
+
+    rows = spark.createDataFrame([(k, f"n{k}", f"l{k}", *[""] * 6, "", 0) for k in range(20)], "id int, name string, line string, kind string, type_signature string, statement string, docstring string, library string, module_path string, nl_description string, line_number int").withColumn("id", F.col("id").cast("decimal(20,0)"))
+
+    def loud():
+        return lambda lines: [f"told {x}" for x in lines]
+
+    def broken():
+        raise RuntimeError("no service")
+
+    files.describe_log(rows.where("id < 5"), f"{tmp_path}/log", loud, 3)
+    with pytest.raises(Exception):  # noqa: B017
+        files.describe_log(rows, f"{tmp_path}/log", broken, 3)
+    assert files.read_description_log(spark, f"{tmp_path}/log").count() == 5
+    files.describe_log(rows, f"{tmp_path}/log", loud, 3)
+    got = files.latest_descriptions(files.read_description_log(spark, f"{tmp_path}/log"), [F.desc("described_at")]).collect()
+    assert {int(r.id): r.nl_description for r in got} == {k: f"told l{k}" for k in range(20)}
+
+
+def test_evaluation_from_the_command_line(spark, tmp_path, capsys):
+    from theoremlake.sources import files
+
+    files.write_jsonl(spark.createDataFrame(ROWS, DECL), f"{tmp_path}/d")
+    (tmp_path / "q.jsonl").write_text(json.dumps({"query": "addition commutes", "gold": ["add_comm"]}) + "\n")
+    (tmp_path / "p.jsonl").write_text(json.dumps({"name": "add_comm", "statement": "Lemma add_comm : a + b = b + a.", "premises": ["add_assoc"]}) + "\n")
+    cli.main(["eval", "--input", f"{tmp_path}/d", "--queries", f"{tmp_path}/q.jsonl"], spark)
+    cli.main(["eval", "--input", f"{tmp_path}/d", "--queries", f"{tmp_path}/p.jsonl", "--premises"], spark)
+    out = [line.split("|") for line in capsys.readouterr().out.splitlines() if line.startswith("|1")]
+    assert [float(x[2]) for x in out] == [1.0, 1.0]  # a declaration isn't its own premise, so the premise comes first
+
+
+def test_cross_without_a_working_model(spark):
+    hits = spark.createDataFrame([(1, 5, 1, 0.5, "q", "d")], "query_id long, id long, rank int, score double, query string, document string")
+    assert rerank.rerank(hits, 1, "cross", score=lambda pairs: 1 / 0).first().id == 5

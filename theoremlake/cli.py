@@ -1,14 +1,15 @@
-"""python -m theoremlake.cli COMMAND: fetch, extract, enrich, index, validate, describe, mine, finetune."""
+"""python -m theoremlake.cli COMMAND: fetch, extract, enrich, index, validate, describe, mine, finetune, eval."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from theoremlake.functions.declarations import prompt_line
-from theoremlake.operators import enrich, index, mining, traindata
+from theoremlake.functions.declarations import declaration_text, prompt_line
+from theoremlake.operators import embed, enrich, index, metrics, mining, search, traindata
+from theoremlake.plans.scratch import written
 from theoremlake.sources import files
 from theoremlake.sources.parse import parse_statements
 
@@ -28,9 +29,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     command("enrich", in_, out, ("--dedupe", {"action": "store_true"}))
     command("index", in_, ("--index", {"required": True}), ("--no-resume", {"action": "store_true"}), ("--prune", {"action": "store_true"}), ("--reset", {"action": "store_true"}))
     command("validate", in_, ("--search", {}), ("--lib", {}), ("--kind", {}), ("--limit", {"type": int, "default": 10}))
-    command("describe", in_, ("--cache", {"required": True}), out)
+    command("describe", in_, ("--cache", {"required": True}), out, ("--describer", {"help": "MODULE:FUNCTION that makes a describer; rules without"}), ("--chunk", {"type": int, "default": 10_000}))
     command("mine", ("--source", {"action": "append", "required": True}), in_, out, ("--cap", {"type": int, "default": 1500}))
     command("finetune", in_, out, ("--k", {"type": int, "default": 5}), ("--test-fraction", {"type": float, "default": 0.1}))
+    command("eval", in_, ("--queries", {"required": True}), ("--premises", {"action": "store_true"}), ("--k", {"type": int, "default": 50}))
     a = p.parse_args(argv)
     if a.command == "fetch":
         print(files.fetch(a.library, a.target))
@@ -58,22 +60,43 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         found.orderBy("seq").limit(a.limit).select("kind", "name", "library", F.substring("type_signature", 1, 120).alias("type"), "github_url").show(a.limit, False)
     elif a.command == "describe":
         rows = decls.withColumns({"id": index.stable_id(), "line": prompt_line(F.lit(0))})
-        from theoremlake.functions.declarations import rule_based_docstring
-
-        log = rows.select("id", "name", rule_based_docstring().alias("nl_description"))
-        done = spark.read.schema("id decimal(20,0), name string, nl_description string").json(a.cache) if spark.sparkContext._jvm.java.io.File(a.cache).exists() else log.limit(0)
-        files.write_jsonl(index.missing_from(log, done, ["id"]), a.cache, append=True)
-        cache = spark.read.schema("id decimal(20,0), name string, nl_description string").json(a.cache)
-        told = files.latest_descriptions(cache, [F.desc("nl_description")])
+        files.describe_log(rows, a.cache, _describer(a.describer) if a.describer else None, a.chunk)
+        told = files.latest_descriptions(files.read_description_log(spark, a.cache), [F.desc_nulls_last("described_at"), F.desc("nl_description")])
         files.write_jsonl(index.write_back(rows, told, "id").drop("id", "line", "seq"), a.out)
     elif a.command == "mine":
         pairs = mining.mine(parse_statements(files.read_sources(spark, a.source)), files.corpus_names(decls))
         files.write_jsonl(mining.strided_sample(pairs, a.cap, [F.asc("file_path"), F.asc("name")], ["library"]), a.out)
     elif a.command == "finetune":
         files.write_jsonl(traindata.training_rows(decls, "seq", a.test_fraction, a.k), a.out)
+    elif a.command == "eval":
+        _evaluate(spark, decls, a.queries, a.premises, a.k).show(1, False)
     return 0
 
 
+def _describer(name: str):
+    """The factory MODULE:FUNCTION."""
+    import importlib
+
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
+
+
+def _evaluate(spark: SparkSession, decls: DataFrame, path: str, premises: bool, k: int) -> DataFrame:
+    """Metrics of dense retrieval over decls. With premises the rows of path are declarations that ask for their premises; a
+    declaration never finds itself (R12)."""
+    points = decls.select(F.col("seq").alias("id"), F.substring_index("name", ".", -1).alias("name"), declaration_text().alias("v"))
+    if premises:
+        rows = files.read_premises(spark, path).withColumn("query_id", F.monotonically_increasing_id())
+        rows = rows.select("query_id", F.concat_ws(" ", "name", "type_signature", "statement").alias("query"), F.col("name").alias("own_name"), F.col("premises").alias("gold"))
+    else:
+        rows = files.read_eval(spark, path).withColumn("query_id", F.monotonically_increasing_id()).select("query_id", "query", F.lit(None).cast("string").alias("own_name"), "gold")
+    rows = written(rows, "eval")
+    found = search.dense_topk(rows.select(F.col("query_id").alias("id"), F.col("query").alias("v")), points.select("id", "v"), k, vectors=embed.hash_vectors())
+    ranked = found.join(points.select("id", "name"), "id").join(rows.select("query_id", "own_name"), "query_id").select("query_id", "rank", "name", "own_name")
+    ranked = metrics.drop_self(ranked) if premises else ranked
+    return metrics.summary(metrics.per_query(written(ranked, "ranked"), rows.select("query_id", F.explode("gold").alias("name"))))
+
+
 if __name__ == "__main__":
     raise SystemExit(main())
 

@@ -1,18 +1,22 @@
-"""The index: versioned Parquet snapshots of points in a folder.
+"""The index: versioned Parquet files of points in a folder.
 
-A snapshot is written whole into a new folder before a pointer file is replaced, so readers see the old or the new one
-and never a part. Points are partitioned by library, which serves as index of that facet; kind and chapter are left to
-Parquet's statistics."""
+Points are dealt to buckets by id. A change writes new files of the buckets it touches and then replaces a pointer file,
+which names the files of each bucket, in one step; so readers see the old or the new state and never a part, and a small
+batch rewrites few buckets. Within a bucket points are partitioned by library, which serves as index of that facet, and
+sorted by kind and chapter, so that Parquet's statistics skip row groups for these. Vectors are stored with the points."""
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from theoremlake.functions.declarations import canonical_key, declaration_text, normalize, stable_id
+from theoremlake.operators.embed import Embedder, embed_column
 from theoremlake.operators.enrich import first_wins
 
 
@@ -47,63 +51,95 @@ def to_points(declarations: DataFrame) -> DataFrame:
 
 
 class Index:
-    """A collection in a folder."""
+    """A collection in a folder. With an embedder (made once in each task) every new point gets its vector, dense."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, embedder: Callable[[], Embedder] | None = None, buckets: int = 16) -> None:
+        self.spark, self.folder, self.embedder, self.buckets = spark, folder.rstrip("/"), embedder, buckets
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.folder).getFileSystem(self._conf)
 
-    def _current(self) -> str | None:
+    def _state(self) -> dict:
+        """{"count": number of buckets, "files": {bucket: snapshot}}; empty files before the first build."""
         pointer = self._path(f"{self.folder}/CURRENT")
         if not self._fs.exists(pointer):
+            return {"count": self.buckets, "files": {}}
+        return json.loads(self.spark.read.text(f"{self.folder}/CURRENT").first().value)
+
+    def _read(self, files: dict[str, str]) -> DataFrame | None:
+        if not files:
             return None
-        return f"{self.folder}/{self.spark.read.text(f'{self.folder}/CURRENT').first().value}"
+        paths = [f"{self.folder}/snapshot={name}/bucket={b}" for b, name in sorted(files.items())]
+        return self.spark.read.option("basePath", self.folder).parquet(*paths).drop("snapshot", "bucket").withColumn("library", F.col("library").cast("string"))
 
     def points(self) -> DataFrame | None:
-        """The current snapshot; column pruning takes the place of paging."""
-        path = self._current()
-        return None if path is None else self.spark.read.parquet(path)
-
-    def _swap(self, df: DataFrame) -> None:
-        """K7: write a snapshot, then point to it."""
-        name = f"snapshot-{uuid.uuid4().hex[:12]}"
-        df.write.partitionBy("library").parquet(f"{self.folder}/{name}")
-        old, new = self._path(f"{self.folder}/CURRENT"), self._path(f"{self.folder}/CURRENT.new")
+        """All points; column pruning takes the place of paging."""
+        return self._read(self._state()["files"])
+
+    def _bucket(self, count: int) -> Column:
+        return F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(count)).cast("int")
+
+    def _point_to(self, state: dict) -> None:
+        """K7: replace the pointer in one step."""
+        new = self._path(f"{self.folder}/CURRENT-{uuid.uuid4().hex[:12]}")
         out = self._fs.create(new, True)
-        out.write(bytearray(name.encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        self._fs.delete(old, False)
-        self._fs.rename(new, old)
+        jvm = self.spark.sparkContext._jvm
+        how = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self._conf).rename(self._fs.makeQualified(new), self._fs.makeQualified(self._path(f"{self.folder}/CURRENT")), how)
 
     def reset(self) -> None:
-        """K2: drop all snapshots."""
+        """K2: drop everything."""
         self._fs.delete(self._path(self.folder), True)
 
     def build(self, declarations: DataFrame, resume: bool = True, prune: bool = False, points=to_points) -> int:
         """K4-K6: add declarations, returning how many points there then are. With resume, keys that are indexed stay as
         they are even if their content changed; without, new content replaces old. With prune, points that are not among
-        the declarations go, after the rest was written."""
-        new, old = points(declarations), self.points()
-        if old is not None:
-            if resume:
-                kept, added = old, missing_from(new, old, ["id"])
-                out = kept.unionByName(added, allowMissingColumns=True)
-            else:
-                out = upsert(old, new, ["id"], [F.col("id").asc()])
-            out = still_in(out, new, ["id"]) if prune else out
-        else:
-            out = new
-        self._swap(out)
-        return self.points().count()
+        the declarations go. Only buckets that change are read whole and written."""
+        from theoremlake.plans.scratch import written
+
+        state = self._state()
+        count, files = state["count"], dict(state["files"])
+        new, all_ = points(declarations), self._read(files)
+        added = new if all_ is None or not resume else missing_from(new, all_.select("id"), ["id"])
+        added = added if self.embedder is None else embed_column(added, "search_text", self.embedder)
+        added = written(added.withColumn("bucket", self._bucket(count)), "added")
+        touched = {str(r.bucket) for r in added.select("bucket").distinct().collect()}  # at most count rows
+        kept = new.select("id") if prune else None
+        if prune and all_ is not None:
+            kept = written(kept, "kept")
+            touched |= {str(r.b) for r in all_.join(kept, "id", "left_anti").select(self._bucket(count).alias("b")).distinct().collect()}
+        if touched:
+            old = self._read({b: f for b, f in files.items() if b in touched})
+            out = added.drop("bucket")
+            if old is not None:
+                out = old.unionByName(out, allowMissingColumns=True) if resume else upsert(old, out, ["id"], [F.col("id").asc()])
+            out = out if kept is None else still_in(out, kept, ["id"])
+            name = uuid.uuid4().hex[:12]
+            rows = out.withColumn("bucket", self._bucket(count)).repartition("bucket", "library").sortWithinPartitions("bucket", "library", "kind", "chapter")
+            rows.write.partitionBy("bucket", "library").parquet(f"{self.folder}/snapshot={name}")
+            there = {x.getPath().getName().removeprefix("bucket=") for x in self._fs.listStatus(self._path(f"{self.folder}/snapshot={name}")) if x.isDirectory()}
+            files = {b: f for b, f in files.items() if b not in touched} | {b: name for b in there}
+            self._point_to({"count": count, "files": files})
+        found = self.points()
+        return 0 if found is None else found.count()
 
     def vacuum(self) -> None:
-        """Delete snapshots that the pointer no longer names; not while others still read them."""
-        current = self._current()
-        for status in self._fs.listStatus(self._path(self.folder)):
-            name = status.getPath().getName()
-            if name.startswith("snapshot-") and (current is None or not current.endswith(name)):
-                self._fs.delete(status.getPath(), True)
+        """Delete files that the pointer no longer names; not while others still read them."""
+        current = self._state()["files"]
+        named = {f"{f}/{b}" for b, f in current.items()}
+        for snapshot in self._fs.listStatus(self._path(self.folder)):
+            name = snapshot.getPath().getName()
+            if name.startswith("snapshot="):
+                if name.removeprefix("snapshot=") not in current.values():
+                    self._fs.delete(snapshot.getPath(), True)
+                    continue
+                for part in self._fs.listStatus(snapshot.getPath()):
+                    bucket = part.getPath().getName()
+                    if bucket.startswith("bucket=") and f"{name.removeprefix('snapshot=')}/{bucket.removeprefix('bucket=')}" not in named:
+                        self._fs.delete(part.getPath(), True)
 
 
 def key_column() -> Column:

@@ -66,13 +66,16 @@ def cross_encode(hits: DataFrame, limit: int, score: Callable[[list[tuple[str, s
 
 
 def rerank(hits: DataFrame, limit: int, mode: str = "auto", **options) -> DataFrame:
-    """Cross, a passthrough mode, or anything else for reciprocal ranks. A plan that can't be built falls back to the
-    order of retrieval."""
+    """Cross, a passthrough mode, or anything else for reciprocal ranks. Where cross is asked for without a model, or its
+    model fails on a trial pair, hits keep the order of retrieval; other mistakes are raised."""
     mode = mode.strip().lower()
     if mode in PASSTHROUGH:
         return passthrough(hits, limit)
+    if mode != "cross":
+        return reciprocal_rank(hits, limit, **options)
     try:
-        return cross_encode(hits, limit, **options) if mode == "cross" else reciprocal_rank(hits, limit, **options)
+        options["score"]([("query", "document")])
     except Exception:
-        logging.getLogger(__name__).warning("reranking failed, hits keep the order of retrieval", exc_info=True)
+        logging.getLogger(__name__).warning("no model to rerank with, hits keep the order of retrieval", exc_info=True)
         return passthrough(hits, limit)
+    return cross_encode(hits, limit, **options)

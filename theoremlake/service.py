@@ -29,7 +29,8 @@ class Rejected(ValueError):
 
 @dataclass
 class Service:
-    """points: canonical declarations with id and search_text (operators.index.to_points), stored."""
+    """points: canonical declarations with id and search_text (operators.index.to_points), stored. With an embedder the
+    points' stored vectors, dense, are searched (operators.index.Index with the same one); without, texts are hashed."""
 
     points: DataFrame
     collection: str = "declarations"
@@ -37,7 +38,9 @@ class Service:
     fusion: bool = False
     rate_limit: int = 60
     window_seconds: float = 60.0
+    embedder: embed.Embedder | None = None
     _calls: dict[str, deque] = field(default_factory=dict)
+    _weights: DataFrame | None = None
 
     def health(self) -> dict:
         return {"status": "ok", "collection": self.collection}
@@ -52,17 +55,26 @@ class Service:
         """(query_id, id, score, rank) for queries (id, text): filtered, then dense or fused."""
         rows = self.points.where(search.facet_filter(library=lib, kind=kind, chapter=chapter))
         keyed = rows.select(F.col("id").cast("string").alias("point"), F.xxhash64(F.col("id").cast("string")).alias("id"), F.col("search_text").alias("v"))
-        dense = search.dense_topk(queries.select("id", F.col("text").alias("v")), keyed.select("id", "v"), pool, vectors=embed.hash_vectors())
+        if self.embedder is None:
+            dense = search.dense_topk(queries.select("id", F.col("text").alias("v")), keyed.select("id", "v"), pool, vectors=embed.hash_vectors())
+        else:
+            asked = queries.select("id", "text").collect()  # a stated query set
+            vectors = self.embedder.embed([r.text or "" for r in asked])
+            q = queries.sparkSession.createDataFrame([(r.id, v) for r, v in zip(asked, vectors, strict=True)], "id long, v array<float>")
+            stored = rows.select(F.xxhash64(F.col("id").cast("string")).alias("id"), F.col("dense").alias("v"))
+            dense = search.dense_topk(q, stored, pool, vectors=search.array_vectors(self.embedder.dim))
         if not self.fusion:
             return dense
         from theoremlake.functions.declarations import sparse_text
 
-        texts = rows.select(F.xxhash64(F.col("id").cast("string")).alias("id"), sparse_text().alias("text"))
-        weights = written(search.idf(search.postings(texts), texts.count()), "idf")
-        return search.fuse(dense, search.sparse_topk(queries, texts, weights, pool), pool)
+        texts = lambda df: df.select(F.xxhash64(F.col("id").cast("string")).alias("id"), sparse_text().alias("text"))
+        if self._weights is None:  # of the whole collection, once
+            self._weights = written(search.idf(search.postings(texts(self.points)), self.points.count()), "idf")
+        return search.fuse(dense, search.sparse_topk(queries, texts(rows), self._weights, pool), pool)
 
     def search(self, q: str, limit: int = 10, lib: str | None = None, kind: str | None = None, chapter: str | None = None, client: str | None = None) -> dict:
-        """The reply to one query; W8: Rejected(400) for a blank query, Rejected(422) for a limit outside 1 to 50."""
+        """The reply to one query; W8: Rejected(400) for a blank query, Rejected(422) for a limit outside 1 to 50,
+        Rejected(503) if the index fails."""
         self.admit(client)
         if not q or not q.strip():
             raise Rejected(400, "empty query")
@@ -71,6 +83,12 @@ class Service:
         began, mode = time.time(), self.mode.strip().lower()
         spark = self.points.sparkSession
         query = spark.createDataFrame([(0, q)], "id long, text string")
+        try:
+            return self._reply(q, query, limit, mode, began, lib, kind, chapter)
+        except Exception as e:
+            raise Rejected(503, "search is not available") from e
+
+    def _reply(self, q: str, query: DataFrame, limit: int, mode: str, began: float, lib: str | None, kind: str | None, chapter: str | None) -> dict:
         hits = self.retrieve(query, search.candidate_pool(limit, mode in rerank.PASSTHROUGH), lib, kind, chapter)
         payload = self.points.withColumn("_k", F.xxhash64(F.col("id").cast("string"))).select(*FIELDS, "_k")
         full = payload.join(F.broadcast(hits), F.col("_k") == F.col("id")).withColumn("query", F.lit(q)).drop("_k")

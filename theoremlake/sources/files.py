@@ -116,6 +116,42 @@ def read_eval(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("query string, gold array<string>, hint string, source string, source_statement string").json(path)
 
 
+def read_premises(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation rows that ask for the premises of a declaration, as operators.mining.mine gives them."""
+    return spark.read.schema("name string, kind string, library string, file_path string, type_signature string, statement string, premises array<string>").json(path)
+
+
+LOG_SCHEMA = "id decimal(20,0), name string, nl_description string, described_at timestamp"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, on whatever store the path names."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def read_description_log(spark: SparkSession, path: str) -> DataFrame:
+    """The append-only description cache; empty where there is none yet."""
+    return spark.read.schema(LOG_SCHEMA).json(path) if exists(spark, path) else spark.createDataFrame([], LOG_SCHEMA)
+
+
+def describe_log(rows: DataFrame, path: str, describer=None, chunk: int = 10_000) -> None:
+    """M7, K8: describe the rows (id, name, line, canonical columns) that the cache lacks and append them, about chunk rows at
+    a time, so that a failure loses no more than these and a further run goes on from there. describer as in
+    operators.describe.describe; without one the rule-based text is taken."""
+    from theoremlake.functions.declarations import rule_based_docstring
+    from theoremlake.operators.describe import describe
+    from theoremlake.plans.scratch import written
+
+    todo = rows.dropDuplicates(["id"]).join(read_description_log(rows.sparkSession, path).select("id").distinct(), "id", "left_anti")
+    todo = written(todo.select("id", "name", "line", rule_based_docstring().alias("nl_description")), "todo")
+    parts = -(-todo.count() // chunk)
+    for n in range(parts):
+        part = todo if parts == 1 else todo.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == n)
+        told = part.select("id", "name", "nl_description") if describer is None else describe(part, describer, "line")
+        write_jsonl(told.withColumn("described_at", F.current_timestamp()), path, append=True)
+
+
 def corpus_names(df: DataFrame) -> DataFrame:
     """The distinct names that are not empty."""
     return df.select("name").where("name <> ''").distinct()

@@ -1,4 +1,5 @@
-"""Incremental indexing of a stream of declarations (X3): each trigger is an upsert of one batch into an Index."""
+"""Incremental indexing of a stream of declarations (X3): each trigger is an upsert of one batch into an Index, which writes
+the buckets that the batch touches and no others."""
 
 from __future__ import annotations
 
