@@ -345,3 +345,17 @@ def test_evaluation_from_the_command_line(spark, tmp_path, capsys):
 def test_cross_without_a_working_model(spark):
     hits = spark.createDataFrame([(1, 5, 1, 0.5, "q", "d")], "query_id long, id long, rank int, score double, query string, document string")
     assert rerank.rerank(hits, 1, "cross", score=lambda pairs: 1 / 0).first().id == 5
+
+
+def test_scopes_delete_their_tables(spark):
+    from pathlib import Path
+
+    from theoremlake.plans import scratch
+
+    with scratch.scope(spark):
+        path = scratch.fresh_path(spark, "x")
+        spark.range(3).write.parquet(path)
+        with scratch.scope(spark):
+            assert scratch.written(spark.range(5), "y").count() == 5
+        assert spark.read.parquet(path).count() == 3
+    assert not Path(path.removeprefix("file://")).parent.exists()

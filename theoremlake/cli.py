@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from theoremlake.functions.declarations import declaration_text, prompt_line
 from theoremlake.operators import embed, enrich, index, metrics, mining, search, traindata
-from theoremlake.plans.scratch import written
+from theoremlake.plans.scratch import scope, written
 from theoremlake.sources import files
 from theoremlake.sources.parse import parse_statements
 
@@ -41,6 +41,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "extract":
         print(files.extract(spark, a.source, a.out, a.include, a.kind, a.append))
         return 0
+    with scope(spark):
+        _run(spark, a)
+    return 0
+
+
+def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     decls = files.read_declarations(spark, a.input).withColumn("seq", F.monotonically_increasing_id())
     if a.command == "enrich":
         rows = enrich.enrich(decls)
@@ -70,7 +76,6 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         files.write_jsonl(traindata.training_rows(decls, "seq", a.test_fraction, a.k), a.out)
     elif a.command == "eval":
         _evaluate(spark, decls, a.queries, a.premises, a.k).show(1, False)
-    return 0
 
 
 def _describer(name: str):

@@ -244,6 +244,13 @@ SELECT l.id, l.log_id, l.name FROM l JOIN (SELECT coalesce(new.id, old.id) AS id
         "eval_hit_at_k": f"""{dense50}, {_RANKED} SELECT coalesce(hint, '?') AS hint, count(*) AS queries, round(avg(CASE WHEN best_rank <= 1 THEN 1 ELSE 0 END), 6) AS hit1, round(avg(CASE WHEN best_rank <= 5 THEN 1 ELSE 0 END), 6) AS hit5,
   round(avg(CASE WHEN best_rank <= 10 THEN 1 ELSE 0 END), 6) AS hit10, round(avg(recall5), 6) AS recall5, round(avg(recallk), 6) AS recall10, round(avg(rrk), 6) AS mrr10, round(avg(rr), 6) AS mrr, round(avg(apk), 6) AS map10 FROM per JOIN searches USING (query_id) GROUP BY ALL""",
         "gold_rank_depth50": f"""{dense50}, {_RANKED} SELECT r.query_id, any_value(best_rank) AS gold_rank, string_agg(name, '|' ORDER BY rank) FILTER (rank <= 3) AS top_names FROM ranked r LEFT JOIN hq USING (query_id) GROUP BY r.query_id""",
+        "self_exclusion": f"""{dense50}, {_RANKED}, own AS (SELECT query_id, gold[-1] AS own_name FROM searches),
+            kept AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ranked JOIN own USING (query_id) WHERE name IS DISTINCT FROM own_name)
+            SELECT query_id, rank, name FROM kept WHERE rank <= 10""",
+        "embedded_points": f"""{norm}, b AS (SELECT DISTINCT decl_id, {_hash('t', 384)} AS bucket FROM (SELECT decl_id, unnest({_split(_DENSE_TEXT)}) AS t FROM norm))
+            SELECT decl_id, count(bucket) AS n_used, CASE WHEN count(bucket) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM norm LEFT JOIN b USING (decl_id) GROUP BY decl_id""",
+        "index_resume_prune": f"""{norm}, lemmas AS (SELECT norm.* FROM norm JOIN declarations d USING (decl_id) WHERE d.kind = 'Lemma')
+            SELECT DISTINCT (('0x' || substr(sha256(concat_ws(':', library, file_path, line_number::VARCHAR, name)), 1, 16))::UBIGINT)::VARCHAR AS id, library FROM lemmas""",
         "premise_edges": f"""{norm}, short AS (SELECT decl_id, split_part(name, '.', -1) AS name, statement FROM norm), names AS (SELECT DISTINCT coalesce(list_filter({_tokens('name')}, lambda t: t NOT IN {_list(RELATION_WORDS)} AND t NOT IN {_list(NAME_STOP_WORDS)} AND NOT regexp_full_match(t, '[0-9]+'))[1], '') AS n FROM short),
 tok AS (SELECT DISTINCT decl_id, name, unnest(regexp_extract_all(statement, '[A-Za-z_][A-Za-z0-9_'']*')) AS t FROM short),
 p AS (SELECT decl_id, list(t ORDER BY t) AS l FROM tok WHERE length(t) >= 3 AND t <> name AND t NOT IN {_list(TACTICS)} AND t IN (SELECT n FROM names WHERE n <> '') GROUP BY decl_id) SELECT decl_id, array_to_string(l, '|') AS premises FROM p WHERE len(l) BETWEEN 1 AND 15""",

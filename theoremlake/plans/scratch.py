@@ -11,11 +11,15 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _KEY = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+#: Folders below this process's, of the scopes that are open.
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,7 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/theoremlake-{os.getpid()}/{name}-{uuid.uuid4().hex[:12]}"
+    return "/".join([shared_dir(spark), _mine(), *_scopes, f"{name}-{uuid.uuid4().hex[:12]}"])
+
+
+def _mine() -> str:
+    return f"theoremlake-{os.getpid()}"
+
+
+def _delete(spark: SparkSession, below: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{below}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are deleted at its end, so results have to be written elsewhere or read before."""
+    _scopes.append(f"scope-{uuid.uuid4().hex[:12]}")
+    below = "/".join([_mine(), *_scopes])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        _delete(spark, below)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -46,5 +71,4 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete every table this process wrote. Only when no result built on them is still to be read."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/theoremlake-{os.getpid()}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _mine())

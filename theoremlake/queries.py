@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from theoremlake.functions import declarations as D
 from theoremlake.functions import text as T
 from theoremlake.operators import attach, embed, enrich, index, metrics, mining, rerank, search, traindata
-from theoremlake.plans.scratch import written
+from theoremlake.plans.scratch import fresh_path, written
 from theoremlake.sources import files, parse
 from theoremlake.streaming import ratelimit
 
@@ -332,6 +332,30 @@ def gold_rank_depth50(spark: SparkSession, d: str) -> DataFrame:
     return metrics.gold_ranks(*_ranked(spark, d, 50)).select("query_id", "gold_rank", F.array_join("top_names", "|").alias("top_names"))
 
 
+def self_exclusion(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks without the query's own name, here its last gold name."""
+    ranked, _ = _ranked(spark, d, 50)
+    own = _searches(spark, d).select(F.col("id").alias("query_id"), F.try_element_at("gold", F.lit(-1)).alias("own_name"))
+    return metrics.drop_self(ranked.join(own, "query_id")).where("rank <= 10").select("query_id", "rank", "name")
+
+
+def embedded_points(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors by an embedder made once in each task; their directions used and their lengths."""
+    texts = _decls(spark, d).select("decl_id", D.declaration_text().alias("text"))
+    v = embed.embed_column(texts, "text", embed.HashEmbedder)
+    square = F.aggregate("dense", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return v.select("decl_id", F.size(F.filter("dense", lambda x: x != 0)).cast("long").alias("n_used"), F.round(F.sqrt(square), 3).alias("length"))
+
+
+def index_resume_prune(spark: SparkSession, d: str) -> DataFrame:
+    """The ids of an index that held one library, and was then resumed and pruned with all lemmas."""
+    decls = _read(spark, d, "declarations").drop("docstring_generated", "split", "extracted_at", "loaded_at", "decl_id")
+    i = index.Index(spark, fresh_path(spark, "index"))
+    i.build(decls.where("library = 'corelib'"))
+    i.build(decls.where("kind = 'Lemma'"), resume=True, prune=True)
+    return i.points().select(F.col("id").cast("string").alias("id"), "library")
+
+
 def premise_edges(spark: SparkSession, d: str) -> DataFrame:
     """Names of declarations that statements mention."""
     decls = _decls(spark, d).withColumn("short", F.substring_index("name", ".", -1))
@@ -391,7 +415,7 @@ _QUERIES = (
     dense_hash_search_topk, sparse_idf_search_topk, fusion_rrf_search, faceted_filter_search, lexical_rrf_rerank, rerank_passthrough, dense_knn_embeddings,
     facet_counts, stats_summary, inspect_profile, inspect_rows, top_kinds, describe_fill, dedupe_first_wins, cache_latest, description_writeback, resume_anti_join, prune_stale, upsert_latest,
     hard_negatives, training_rows, triplet_explode, training_summary, jaccard_best_match, eval_candidates, corpus_variants, attach_coverage, identifier_leaks, gold_lookup,
-    eval_recall_mrr_map, eval_hit_at_k, gold_rank_depth50, premise_edges, strided_sample, parse_declarations, strip_nested_comments, proof_grouping, mine_premises, rate_limit_window_count, rate_limit_stateful,
+    eval_recall_mrr_map, eval_hit_at_k, gold_rank_depth50, self_exclusion, embedded_points, index_resume_prune, premise_edges, strided_sample, parse_declarations, strip_nested_comments, proof_grouping, mine_premises, rate_limit_window_count, rate_limit_stateful,
 )
 
 
