@@ -205,7 +205,7 @@ def sparse_topk(queries: DataFrame, points: DataFrame, weights: DataFrame, k: in
             met, point = np.array(met, np.int64), np.array(point, np.int64)
             n = start[met + 1] - start[met]
             at = np.arange(n.sum()) + np.repeat(start[met] - np.cumsum(n) + n, n)
-            s = np.bincount(row[at] * b.num_rows + np.repeat(point, n), weights=worth[at], minlength=len(ids.value) * b.num_rows).reshape(-1, b.num_rows)
+            s = np.bincount(row[at] * b.num_rows + np.repeat(point, n), weights=worth[at], minlength=len(ids.value) * b.num_rows).astype(np.float64).reshape(-1, b.num_rows)
             s = np.round(s, digits)
             s[s <= 0] = -np.inf
             return s
