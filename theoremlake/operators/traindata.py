@@ -61,9 +61,12 @@ def _holding(stems: DataFrame, names: DataFrame) -> DataFrame:
     """Stems (library, stem) with the names (library, name, ...) that hold them, without case: by an equi-join of the first
     characters of a stem and all runs of so many characters in a name, in place of comparing all of a library."""
     low, short = F.lower("name"), F.least(F.length("stem"), F.lit(STEM_KEY))
-    # for each length the runs that begin at each place
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i, n=n: F.substr(low, i, F.lit(n))) for n in range(1, STEM_KEY + 1)]
-    each = names.withColumn("key", F.explode(F.array_distinct(F.concat(*runs))))
+
+    def runs(n: int) -> Column:
+        """The runs of n characters that begin at each place."""
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+
+    each = names.withColumn("key", F.explode(F.array_distinct(F.concat(*map(runs, range(1, STEM_KEY + 1))))))
     return stems.withColumn("key", F.substr("stem", F.lit(1), short)).join(each, ["library", "key"]).where(F.contains(F.lower("name"), "stem")).drop("key")
 
 
