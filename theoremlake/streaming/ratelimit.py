@@ -47,7 +47,7 @@ def limit_rate(events: DataFrame, limit: int, window_seconds: float, key: str =
 
     sorted_ = src.repartition("key").sortWithinPartitions("key", "at", "tie")
     kind = dict(src.dtypes)["ts"]
-    return sorted_.mapInArrow(run, f"key string, ts {kind}, tie long, accepted boolean").select(F.col("key").alias(key), F.col("ts").alias(ts), F.col("tie").alias(tie), "accepted")
+    return sorted_.mapInArrow(run, f"key string, ts {kind}, tie long, accepted boolean").select(F.col("key").cast(dict(events.dtypes)[key]).alias(key), F.col("ts").alias(ts), F.col("tie").alias(tie), "accepted")
 
 
 def calls_in_window(events: DataFrame, window_seconds: int, key: str = "key", ts: str = "ts") -> DataFrame:
@@ -74,4 +74,4 @@ def limit_rate_stream(events: DataFrame, limit: int, window_seconds: float, key:
 
     src = events.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(ts).cast("timestamp")).alias("at"), F.col(tie).cast("long").alias("tie"))
     out = src.groupBy("key").applyInPandasWithState(judge, "key string, at long, tie long, accepted boolean", "recent array<long>", "append", GroupStateTimeout.NoTimeout)
-    return out.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), F.col("tie").alias(tie), "accepted")
+    return out.select(F.col("key").cast(dict(events.dtypes)[key]).alias(key), F.timestamp_micros("at").alias(ts), F.col("tie").alias(tie), "accepted")
