@@ -44,6 +44,61 @@ def test_residue_labels_spread_at_the_stated_likeness(spark):
     assert {r.doc_id for r in residue.residue_pages(df).collect()} == {0, 1, 2}
 
 
+def _shared_slots(sigs, others):
+    """Of sigs, those in a slot of the smallest table that one of others has."""
+    taken = set(residue._slot(np.array(others, np.uint64).view(np.int64), 16).tolist())
+    return [i for i, s in enumerate(residue._slot(np.array(sigs, np.uint64).view(np.int64), 16).tolist()) if s in taken]
+
+
+def test_residue_labels_reach_segments_in_the_slot_of_a_labelled_one(spark):
+    # many trusted segments, and of many near-equal ones those whose slot one of them has
+    number = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    tail = " ".join(f"word{i}x" for i in range(40))
+    trusted = [f"Error 503 {tail}", *(f"Fatal error: of kind {number(i)}" for i in range(400))]
+    near = [f"Problem 503 {tail} {number(i)}" for i in range(3000)]
+    sig = lambda t: [residue.xxhash.xxh3_64_intdigest(m) for _, m, _ in residue.segments(t)]
+    near = [near[i] for i in _shared_slots([sig(t)[0] for t in near], [s for t in trusted for s in sig(t)])][:6]
+    assert len(near) == 6
+    df = spark.createDataFrame(list(enumerate([*trusted, *near])), "doc_id long, text string")
+    assert residue.residue_pages(df).count() == len(trusted) + len(near)
+
+
+def test_residue_labels_spread_from_pages_to_near_segments_and_back(spark):
+    tail = " ".join(f"word{i}x" for i in range(40))
+    texts = [
+        f"Error 503 {tail}",
+        f"Problem 503 {tail}\nAsk the librarian.",  # labelled by likeness; its page links the next one
+        f"Problem 503 {tail}\nAsk the librarian.\nWe are sorry.",
+        "Ask the librarian.",
+        "We are sorry.",
+        "Thanks a lot.",
+        "Thanks a lot.\nIt works.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue_pages(df).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_residue_labels_reach_equal_segments(spark):
+    rows = [(0, "Error: no ring"), (1, "Error no ring"), (2, "Error no rings")]  # the colon makes the form of a machine
+    assert {r.doc_id for r in residue.residue_pages(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0, 1}
+
+
+def test_residue_labels_reach_short_segments_of_equal_shingles(spark):
+    # the segments of 7 and 6 words have the same two shingles
+    texts = ["Error: 1 2 3 4 5 6", "Error 7 7 7 7 7", "Error some 7 7 7 7"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue_pages(df).collect()} == {0, 1}
+
+
+def test_residue_labels_of_fields_replace_those_of_residue(spark):
+    tail = [f"word{'abcdefgh'[i // 8]}{'abcdefgh'[i % 8]}" for i in range(60)]
+    middle, end = [*tail[:20], "other", *tail[21:]], [*tail[:20], "other", *tail[21:40], "more", *tail[41:]]
+    texts = ["Problem {{ name }} " + " ".join(tail), "Problem <name> " + " ".join(middle), "Error: f " + " ".join(end)]
+    texts.append("Problem <name> " + " ".join(end) + "\nA real sentence about rings.")  # like the third at once, like the second when that has its label
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in residue.residue_pages(df).collect()} == {0, 1, 2, 3}
+
+
 def test_residue_labels_spread_through_pages_of_repeated_wording(spark):
     texts = [
         "404 Not Found\nThe shelf is gone.",  # linked with the next pages by its second segment
