@@ -386,3 +386,13 @@ def test_groups_are_the_same_by_all_ways(spark, monkeypatch):
     assert edges and all(min(x for x in parent if find(x) == find(u)) in of for u, _ in edges)
     grouped = [sorted(map(str, splits.grouped_rows(plain, n).collect())) for n in (1_000_000, 3)]
     assert grouped[0] == grouped[1] and len(grouped[0]) > 200
+
+
+def test_quick_gates_let_all_furniture_through():
+    bits = ["home ", "Help | ", "help_x ", "Rings.Basic ", "# ", "- ", "(c) x", "© y", "COPYRIGHT z", "site build 1.2", "page revıſion 3", "Generated On 1/2", "rEf: abcde1", "ID 12345", "deadbeef01", "word ", "undefined ", "(null)"]
+    for s in (x + y + z for x in bits for y in bits for z in ("", *bits)):
+        s = s.strip()
+        assert residue._may_have_head(s) or not (residue._HEAD.match(s) and residue._FRONT.match(s)), s
+        assert not residue._END.search(s) or residue.holds_any(s.lower(), residue._END_PARTS) or residue.holds_any(s, residue._LIKE_ASCII), s
+        assert not residue._EMPTY.search(s) or residue.holds_any(s, residue._EMPTY_PARTS), s
+    assert residue._stripped("Home | Help Rings are nice. Ref: abcde1", True) == "Rings are nice."
